@@ -54,8 +54,8 @@ def qa_pairs(rows: DataFrame, delimiter: str = "\t") -> DataFrame:
     parts = F.split("text", re.escape(delimiter))
     pair = F.size(parts) == 2
     grouped = opened_by(rows, pair).where("group > 0")
-    first = F.when(pair, parts[0])
-    body = F.when(pair, parts[1]).otherwise(F.col("text"))
+    first = F.when(pair, F.get(parts, F.lit(0)))
+    body = F.when(pair, F.get(parts, F.lit(1))).otherwise(F.col("text"))
     return grouped.groupBy("doc_id", "group").agg(F.first(first, ignorenulls=True).alias("question"), _in_order(body, F.col("pos")).alias("answer"))
 
 
