@@ -27,7 +27,8 @@ PY_START = re.compile(r"[一-鿿]|(?<![^\s一-鿿])[^\s一-鿿]")
 #: Boundary kinds, strongest last.
 SENTENCE, ITEM, PARAGRAPH, HEADING = 1, 2, 3, 4
 BOUNDARY = re.compile(
-    r"(?P<h>\n(?=[ \t]*#{1,6} ))|(?P<p>\n[ \t]*\n\s*)|(?P<i>\n(?=[ \t]*(?:[-*•]|\(?\d{1,4}[.)]|\(?[a-z][.)]) ?))|(?P<s>(?:[.!?…]+[\"'»”’)\]]*\s+|[。！？；]+[”’」』）]*\s*|\n))"
+    r"(?P<h>(?:\n[ \t]*)+(?=#{1,6} ))|(?P<i>(?:\n[ \t]*)+(?=(?:[-*•]|\(?\d{1,4}[.)]|\(?[a-z][.)])(?: |(?<=\)))))|(?P<p>\n[ \t]*\n\s*)"
+    r"|(?P<s>[.!?…]+[\"'»”’)\]]*(?:[ \t]+|(?=\n))|[。！？；]+[”’」』）]*[ \t]*|\n)"
 )
 KINDS = {"h": HEADING, "p": PARAGRAPH, "i": ITEM, "s": SENTENCE}
 
@@ -89,13 +90,13 @@ def detect(text: str, lead: int, own: int) -> tuple[list[int], list[int], list[i
 
 def boundary_tables(ranged: DataFrame) -> DataFrame:
     """(item, limit, overlap, range_no, starts, marks, kinds) per range, Arrow batch by batch."""
-    schema = "item string, limit int, overlap double, range_no bigint, starts array<int>, marks array<int>, kinds array<int>"
-    types = [pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["item", "limit", "overlap", "range_no", "starts", "marks", "kinds"]
+    schema = "item string, limit int, overlap double, range_no bigint, own int, starts array<int>, marks array<int>, kinds array<int>"
+    types = [pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["item", "limit", "overlap", "range_no", "own", "starts", "marks", "kinds"]
 
     def run(batches):
         for b in batches:
-            rows = [(r["item"], r["limit"], r["overlap"], r["range_no"], *detect(r["slice"], r["lead"], r["own"])) for r in b.to_pylist()]
+            rows = [(r["item"], r["limit"], r["overlap"], r["range_no"], r["own"], *detect(r["slice"], r["lead"], r["own"])) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
     return ranged.select("item", "limit", "overlap", "range_no", "lead", "slice", "own").mapInArrow(run, schema)
@@ -140,7 +141,7 @@ def pieces(items: DataFrame) -> DataFrame:
     # each group sees the range before its own, for the hand-over and the overlap
     placed = tables.join(before, ["item", "range_no"]).withColumn("_g", F.floor(F.col("range_no") / GROUP))
     shared = placed.where((F.col("range_no") % GROUP == GROUP - 1) & (F.col("_g") < F.col("_groups"))).withColumn("_g", F.col("_g") + 1)
-    grouped = placed.unionByName(shared).groupBy("item", "_g").agg(F.max("limit").alias("limit"), F.max("overlap").alias("overlap"), F.max("_groups").alias("_groups"), F.array_sort(F.collect_list(F.struct("range_no", "_first", "starts", "marks", "kinds"))).alias("tables"))
+    grouped = placed.unionByName(shared).groupBy("item", "_g").agg(F.max("limit").alias("limit"), F.max("overlap").alias("overlap"), F.max("_groups").alias("_groups"), F.array_sort(F.collect_list(F.struct("range_no", "_first", "own", "starts", "marks", "kinds"))).alias("tables"))
     schema = "item string, _g bigint, _k int, start bigint, new bigint, end bigint, n_tokens int"
     types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     names = ["item", "_g", "_k", "start", "new", "end", "n_tokens"]
@@ -163,7 +164,7 @@ def pieces(items: DataFrame) -> DataFrame:
                 begin = handed(len(tables[0]["starts"])) if g else 0
                 end = handed(len(offsets)) if g < r["_groups"] else len(offsets)
                 for k, (a, n, z) in enumerate(cuts(offsets, marks, r["limit"], r["overlap"], begin, end)):
-                    stop = offsets[z] if z < len(offsets) else (last["range_no"] + 1) * RANGE
+                    stop = offsets[z] if z < len(offsets) else last["range_no"] * RANGE + last["own"]
                     rows.append((r["item"], g, k, 0 if first + n == 0 else offsets[a], 0 if first + n == 0 else offsets[n], stop, z - a))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
