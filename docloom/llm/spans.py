@@ -108,7 +108,6 @@ def matches(found: DataFrame, least: int = LEAST) -> DataFrame:
             for r in b.to_pylist():
                 refs = r["refs"]
                 sam = SuffixAutomaton([x["region"] for x in refs])
-                own = {x["region_id"] for x in refs}
                 for x in ([] if r["_t"] else refs) + r["streams"]:
                     best: dict[int, tuple[int, int]] = {}
                     for end, n, state in sam.stream(x["region"], least):
@@ -118,20 +117,12 @@ def matches(found: DataFrame, least: int = LEAST) -> DataFrame:
                             elif best[t][1] == end - 1:
                                 best[t] = (best[t][0], end)
                     for t, (a, z) in best.items():
-                        o = refs[t]["region_id"]
-                        rows.append((r["anchor"], x["region_id"], o, a, z))
-                        if x["region_id"] not in own:
-                            rows.append((r["anchor"], o, x["region_id"], *_place(refs[t]["region"], x["region"][a:z])))
+                        rows.append((r["anchor"], x["region_id"], refs[t]["region_id"], a, z))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["anchor", "region_id", "other_id", "begin", "end"])
 
     return alone.unionByName(shards.select("anchor", "_t", "refs", "streams").mapInArrow(run, schema))
 
 
-def _place(text: str, part: str) -> tuple[int, int]:
-    at = text.find(part)
-    return at, at + len(part)
-
-
 def sharing_pairs(found: DataFrame, matched: DataFrame) -> DataFrame:
     """Distinct (doc_a, doc_b), doc_a < doc_b, with a common span of the required length."""
     where = found.select("anchor", "region_id", "doc_id").distinct()
