@@ -13,12 +13,18 @@ def codes(text: str) -> np.ndarray:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Finalizer that spreads the bits of 64-bit values."""
+    """Finalizer that spreads the bits of 64-bit values; the input stays as it is."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+#: Odd multipliers for short windows, one per place, spread by the finalizer so that none is a small multiple of another.
+with np.errstate(over="ignore"):
+    _PLACES = mix(np.arange(1, 9, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
 def window_hashes(chars: np.ndarray, width: int) -> np.ndarray:
@@ -30,6 +36,12 @@ def window_hashes(chars: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
+        if width <= len(_PLACES):  # a weighted sum is cheaper than doubling
+            wide = chars.astype(np.uint64) + np.uint64(1)
+            out = wide[:n] * _PLACES[0]
+            for i in range(1, width):
+                out += wide[i : i + n] * _PLACES[i]
+            return mix(out)
         power = mix((chars.astype(np.uint64) + np.uint64(1)) * _BASE)
         out, done, w = None, 0, 1
         left = width
