@@ -28,18 +28,24 @@ class Retrieve:
     relaxed_threshold: float = 0.17
 
 
+def _once(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(name, words): tokens behind a generator, so that what is derived from them beside an explode is not
+    evaluated again for every exploded row."""
+    return df.select(F.col(key).alias(name), F.inline(F.array(F.struct(L.tokens(text).alias("words")))))
+
+
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf, length): the inverted index as rows. Documents without a token have none."""
-    words = L.tokens(text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.size(words).alias("length"), F.explode(words).alias("term"))
+    rows = _once(docs, doc_id, text, "doc_id").select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, weight, n_terms): weights accumulate over repeats and sum to 1 per query."""
-    words = L.tokens(text)
-    rows = queries.select(F.col(query_id).alias("query_id"), F.size(F.array_distinct(words)).alias("n_terms"), F.aggregate(words, F.lit(0.0), lambda s, w: s + term_weight(w)).alias("_all"), F.explode(words).alias("term"))
-    return rows.groupBy("query_id", "term").agg((F.sum(term_weight("term")) / F.first("_all")).alias("weight"), F.first("n_terms").alias("n_terms"))
+    rows = _once(queries, query_id, text, "query_id").select("query_id", F.explode("words").alias("term"))
+    per = rows.groupBy("query_id", "term").agg(F.sum(term_weight("term")).alias("weight"))
+    total = per.groupBy("query_id").agg(F.sum("weight").alias("_all"), F.count("*").cast("int").alias("n_terms"))
+    return per.join(total, "query_id").select("query_id", "term", (F.col("weight") / F.col("_all")).alias("weight"), "n_terms")
 
 
 def matches(terms: DataFrame, index: DataFrame) -> DataFrame:

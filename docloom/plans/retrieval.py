@@ -9,7 +9,7 @@ from docloom.functions import lexical as L
 from docloom.functions.weights import FIELD_BOOSTS, cosine, rank_features, term_weight_sql
 from docloom.operators import retrieval as R
 from docloom.plans.lexical import TOKENS
-from docloom.runtime import table
+from docloom.runtime import materialize, table
 
 SPEC = R.Retrieve()
 
@@ -51,12 +51,12 @@ def postings_df(spark, sf_dir):
 
 
 def bm25_score(spark, sf_dir):
-    s = R.bm25_scores(_terms(spark, sf_dir), _index(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    s = R.bm25_scores(_terms(spark, sf_dir), materialize(_index(spark, sf_dir))).withColumn("score", F.round("score", 6))
     return R.top_k(s, 20, "score", "query_id").select("query_id", "doc_id", "score", "rank")
 
 
 def custom_similarity_score(spark, sf_dir):
-    s = R.flat_scores(_terms(spark, sf_dir), _index(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    s = R.flat_scores(_terms(spark, sf_dir), materialize(_index(spark, sf_dir))).withColumn("score", F.round("score", 6))
     return R.top_k(s, 20, "score", "query_id").select("query_id", "doc_id", "score", "rank")
 
 
