@@ -14,8 +14,15 @@ AGGREGATES = re.compile(r"\b(sum|avg|max|min|count|group by|distinct)\b")
 def guarded(sql: str, keys: tuple[str, ...] = ("doc_id",), fields: list[str] | None = None, most: int = 12) -> str:
     """A single select: lower case outside quotes, cut at ';' or a fence, keys added unless it aggregates, '*' limited to the first fields."""
     text = re.sub(r"(?s)^.*?```(?:sql)?\s*", "", sql) if "```" in sql else sql
-    text = re.split(r"[;`]", text)[0]
-    text = " ".join(p if p.startswith("'") else re.sub(r"\s+", " ", p.lower()).strip() for p in re.split(r"('(?:[^']|'')*')", text)).strip()
+    parts = []
+    for p in re.split(r"('(?:[^']|'')*')", text):  # quoted text stays as it is; the first end outside of it cuts
+        if p.startswith("'"):
+            parts.append(p)
+            continue
+        parts.append(re.sub(r"\s+", " ", re.split(r"[;`]", p)[0].lower()).strip())
+        if re.search(r"[;`]", p):
+            break
+    text = " ".join(parts).strip()
     if not text.startswith("select "):
         raise ValueError("only select statements are run")
     if fields and re.match(r"select \*", text):
