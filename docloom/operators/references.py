@@ -62,7 +62,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     References are first reduced to one row per (target, key), so a key that a third of all rows share
     costs one row in the match. Only faulty keys go back to the rows, salted against such a key.
     """
-    refs = refs.where(F.col("key").isNotNull() & (F.col("key") != "")).withColumn("_k", F.concat_ws("/", "target", "key"))
+    refs = refs.select("table_name", "record_id", "field_name", "target", "key", "created").where(F.col("key").isNotNull() & (F.col("key") != "")).withColumn("_k", F.concat_ws("/", "target", "key"))
     parents = (
         parents.where(F.col("key").isNotNull())
         .groupBy("target", "key")
