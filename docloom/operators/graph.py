@@ -39,6 +39,21 @@ def merge_edges(relations: DataFrame) -> DataFrame:
     return relations.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("description")), SEPARATOR).alias("description"), F.array_sort(F.collect_set("source_id")).alias("source_id"))
 
 
+def shared_pairs(rows: DataFrame, group: str, item: str, block: int = 512) -> DataFrame:
+    """(src, dst, weight): any two items of one group, by groups shared, src < dst. Null groups and items take no part.
+
+    A group of more than ``block`` items is dealt into blocks; each pair of blocks meets under a key of its own, so that no
+    group has to be paired by one task.
+    """
+    one = rows.select(F.col(group).alias("_g"), F.col(item).alias("_i")).where("_g is not null and _i is not null").distinct()
+    large = materialize(one.groupBy("_g").agg(F.count("*").alias("_c")).where(F.col("_c") > block).select("_g", F.ceil(F.col("_c") / block).cast("int").alias("_k")))
+    dealt = one.join(small(large), "_g", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_k")).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    a = dealt.select("_g", F.col("_b").alias("_x"), all_blocks.alias("_y"), F.col("_i").alias("src"))
+    b = dealt.select("_g", all_blocks.alias("_x"), F.col("_b").alias("_y"), F.col("_i").alias("dst"))
+    return a.join(b, ["_g", "_x", "_y"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame, key: str = "name") -> DataFrame:
     """Edges both of whose ends exist."""
     n = nodes.select(F.col(key).alias("_k"))
@@ -204,6 +219,21 @@ def paths_from(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return out
 
 
+def two_hop_scores(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, score): what ``path_scores`` gives over ``paths_from`` with two hops, without listing the paths.
+
+    The edge x-y opens one path of x, and one more per other neighbour of y; it ends those that come to x from neighbours other than y.
+    ``edges`` are distinct and without self loops.
+    """
+    near = both_ways(edges).join(entities.select(F.col("name").alias("src"), F.col("similarity").alias("_m")), "src", "left")
+    near = near.groupBy(F.col("dst").alias("_v")).agg(F.count("*").alias("_d"), F.count("_m").alias("_c"), F.coalesce(F.sum("_m"), F.lit(0.0)).alias("_s"))
+    near = near.join(entities.select(F.col("name").alias("_v"), F.col("similarity").alias("_m")), "_v", "left")
+    near = materialize(near.select("_v", "_d", (F.col("_m").isNotNull() | (F.col("_c") > 0)).alias("_c"), "_s", F.coalesce("_m", F.lit(0.0)).alias("_m")))
+    side = lambda key, name: near.select(F.col("_v").alias(key), F.struct("_d", "_c", "_s", "_m").alias(name))
+    j = edges.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a._c or b._c")
+    return j.select("src", "dst", F.expr("(a._m * b._d + b._m * a._d) / 2 + (a._s - b._m + b._s - a._m) / 3").alias("score"))
+
+
 def random_walks(edges: DataFrame, length: int = 4, seed: int = 3) -> DataFrame:
     """(node, walk): one weighted walk per node; each step takes the neighbour of the largest weighted hash."""
     e = both_ways(edges)

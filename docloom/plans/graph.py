@@ -13,11 +13,8 @@ from docloom.runtime import materialize, table
 
 
 def _edges(spark, sf_dir):
-    """(src, dst, weight): parts of one order, by orders shared; orders are small, their pairs few."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 < 3").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
-    parts = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p")).alias("ps")).where("size(ps) between 2 and 12")
-    pairs = parts.select(F.explode("ps").alias("src"), "ps").select("src", F.explode("ps").alias("dst")).where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    """(src, dst, weight): parts of one order, by orders shared."""
+    return G.shared_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
 def graph_parse_records(spark, sf_dir):
@@ -50,11 +47,11 @@ def graph_pagerank_k(spark, sf_dir):
 
 
 def graph_connected_components(spark, sf_dir):
-    return G.components(_edges(spark, sf_dir).where("(src + dst) % 7 = 0")).groupBy("component").agg(F.count("*").alias("size"))
+    return G.components(_edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
 
 
 def graph_largest_component(spark, sf_dir):
-    return G.largest_component(_edges(spark, sf_dir).where("(src + dst) % 7 = 0")).agg(F.count("*").alias("n_edges"))
+    return G.largest_component(_edges(spark, sf_dir)).agg(F.count("*").alias("n_edges"))
 
 
 def graph_leiden(spark, sf_dir):
@@ -62,12 +59,12 @@ def graph_leiden(spark, sf_dir):
 
 
 def community_overlap(spark, sf_dir):
-    """Communities that hold any of the wanted nodes, heaviest first."""
+    """Communities that hold any of the wanted nodes, here of all nodes, heaviest first."""
     e = _edges(spark, sf_dir)
     members = materialize(G.communities(e, rounds=4))
     ranks = G.degrees(e).select("node", F.col("strength").alias("rank"))
     w = G.community_weights(members, ranks)
-    wanted = members.where("node % 100 = 0").select(F.col("level0").alias("community")).distinct()
+    wanted = members.select(F.col("level0").alias("community")).distinct()
     return w.join(wanted, "community", "left_semi").select("community", F.round("weight", 6).alias("weight"), "size")
 
 
@@ -91,9 +88,8 @@ def kg_top_view(spark, sf_dir):
 
 def kg_nhop_score(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    starts = e.where("src % 200 = 0").select(F.col("src").alias("name")).distinct()
-    paths = G.paths_from(starts, e, 2)
-    return G.path_scores(starts.withColumn("similarity", 1.0 / (1 + F.col("name"))), paths).select("src", "dst", F.round("score", 9).alias("score"))
+    starts = G.both_ways(e).select(F.col("src").alias("name")).distinct()
+    return G.two_hop_scores(starts.withColumn("similarity", 1.0 / (1 + F.col("name"))), e).select("src", "dst", F.round("score", 9).alias("score"))
 
 
 def kg_walks(spark, sf_dir):
