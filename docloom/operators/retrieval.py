@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexical as L
 from docloom.functions.weights import TERM_DEFAULT, bm25, flat_similarity, term_weight  # noqa: F401
-from docloom.runtime import small
+from docloom.runtime import materialize, small
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,85 @@ def token_similarity(terms: DataFrame, index: DataFrame) -> DataFrame:
     return matches(terms, index).groupBy("query_id", "doc_id").agg(((F.sum("weight") + 1e-9) / (1 + 1e-9)).alias("similarity"), F.count("*").alias("n_hits"), F.first("n_terms").alias("n_terms"))
 
 
+def token_similarity_from(terms: DataFrame, index: DataFrame, least: float, k: int | None = None, most_queries: int = 128, most_terms: int = 20_000) -> DataFrame:
+    """(query_id, doc_id, similarity): ``token_similarity`` from ``least`` (above 0) on, exact, for queries of many terms; integer ids.
+
+    Where queries are whole texts nearly every pair meets in some term. Here pairs meet as blocks: a block of queries is a matrix of
+    weights by term, multiplied with the commoner terms of a block of documents and summed over the rarer ones. Only what reaches
+    ``least`` leaves the task; with ``k`` only what can be among a query's k best, also where scores are rounded to 5e-5 first.
+    """
+    vocabulary = materialize(terms.select("term").distinct().withColumn("_t", F.monotonically_increasing_id()))
+
+    def gather(df: DataFrame, key: str, *values: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull()).join(small(vocabulary), "term")
+        per = rows.groupBy(F.col(key).cast("bigint").alias("id")).agg(F.collect_list(F.struct("_t", *values)).alias("a"))
+        return per.select("id", *[F.col(f"a.{c}").alias(c) for c in ("_t", *values)])
+
+    def pack(df: DataFrame, name: str, rows: int, most: int) -> DataFrame:
+        names = [f"{name}{k}" for k in range(len(df.columns) + 1)]
+
+        def run(batches):
+            for b in batches:
+                ids, n = b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy()
+                lists = [b.column(k).flatten().to_numpy() for k in range(1, b.num_columns)]
+                end = np.cumsum(n)
+                i = 0
+                while i < len(ids):
+                    low = end[i] - n[i]
+                    j = max(i + 1, min(i + rows, int(np.searchsorted(end, low + most, "right"))))
+                    got = (ids[i:j], n[i:j].astype(np.int64), *[x[low : end[j - 1]] for x in lists])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in got], names=names)
+                    i = j
+
+        return df.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+    pairs = pack(gather(index, "doc_id"), "d", 2048, 1 << 18).crossJoin(small(materialize(pack(gather(terms, "query_id", "weight"), "q", most_queries, most_terms))))
+
+    def score(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                d_ids, d_n, d_t, q_ids, q_n, q_t, q_w = (b.column(i)[r].as_buffer() for i in range(7))
+                q, t = np.frombuffer(q_ids, np.int64), np.frombuffer(q_t, np.int64)
+                local, at = np.unique(t, return_inverse=True)
+                weights = np.zeros((len(local), len(q)))
+                weights[at, np.repeat(np.arange(len(q)), np.frombuffer(q_n, np.int64))] = np.frombuffer(q_w)
+                ids, t = np.frombuffer(d_ids, np.int64), np.frombuffer(d_t, np.int64)
+                row = np.minimum(np.searchsorted(local, t), len(local) - 1)
+                hit = local[row] == t
+                row, doc = row[hit], np.repeat(np.arange(len(ids)), np.frombuffer(d_n, np.int64))[hit]
+                # the 256 commonest terms of the block as a product, the others by gathering
+                count = np.bincount(row, minlength=len(local))
+                common = np.argsort(-count, kind="stable")[:256]
+                place = np.full(len(local), -1)
+                place[common] = np.arange(len(common))
+                dense = place[row] >= 0
+                has = np.zeros((len(ids), len(common)))
+                has[doc[dense], place[row[dense]]] = 1
+                s = has @ weights[common]
+                row, doc = row[~dense], doc[~dense]
+                start = np.flatnonzero(np.diff(doc, prepend=-1))
+                end = np.append(start[1:], len(doc))
+                i = 0
+                while i < len(start):
+                    j = max(i + 1, int(np.searchsorted(end, start[i] + most_terms, "right")))
+                    s[doc[start[i:j]]] += np.add.reduceat(weights[row[start[i] : end[j - 1]]], start[i:j] - start[i], axis=0)
+                    i = j
+                s = (s + 1e-9) / (1 + 1e-9)
+                keep = s >= least
+                if k is not None and k < len(ids):
+                    keep &= s >= np.partition(s, len(ids) - k, axis=0)[len(ids) - k] - 5e-5
+                x, y = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(q[y]), pa.array(ids[x]), pa.array(s[x, y])], names=["query_id", "doc_id", "similarity"])
+
+    return pairs.mapInArrow(score, "query_id bigint, doc_id bigint, similarity double")
+
+
+def token_similarity_of(pairs: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, doc_id, similarity) of given pairs; those without a common term are left out."""
+    rows = pairs.select("query_id", "doc_id").join(terms.select("query_id", "term", "weight"), "query_id").join(index.select("doc_id", "term"), ["doc_id", "term"])
+    return rows.groupBy("query_id", "doc_id").agg(((F.sum("weight") + 1e-9) / (1 + 1e-9)).alias("similarity"))
+
+
 def at_least(scored: DataFrame, share: float) -> DataFrame:
     """Keep matches with at least ``share`` of the query's distinct terms (rounded down, one at least)."""
     return scored.where(F.col("n_hits") >= F.greatest(F.lit(1), F.floor(F.col("n_terms") * share)))

@@ -129,11 +129,14 @@ def cosine_centroid_by_label(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir):
-    near = _neighbours(spark, sf_dir, 40).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("cosine"))
+    """Both sides of a top 10. Of texts that are no neighbours only the 10 most similar can come in; the 40 neighbours may be more similar."""
+    near = materialize(_neighbours(spark, sf_dir, 40).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("cosine")))
     docs = _docs(spark, sf_dir)
-    terms = R.query_terms(docs.where("doc_id % 50 = 0"), "doc_id", F.substring("text", 1, 120))
-    text = R.token_similarity(terms, _index(spark, sf_dir)).where("similarity >= 0.3").select("query_id", "doc_id", F.col("similarity").alias("tokensim"))
-    return near, text
+    terms = materialize(R.query_terms(docs.where("doc_id % 50 = 0"), "doc_id", "text"))
+    index = materialize(_index(spark, sf_dir).select("doc_id", "term"))
+    best = R.token_similarity_from(terms, index, 0.3, 10 + 40)
+    text = best.unionByName(R.token_similarity_of(near, terms, index).where("similarity >= 0.3"))
+    return near, text.groupBy("query_id", "doc_id").agg(F.max("similarity").alias("tokensim"))
 
 
 def hybrid_fusion_weighted(spark, sf_dir):

@@ -7,6 +7,7 @@ import pytest
 from test_queries import DATA, QUERIES, SQL, duck, rows  # noqa: F401
 
 from docloom.operators import graph as G
+from docloom.operators import retrieval as R
 
 GRAPH = ("graph_degree_rank", "graph_endpoint_semi", "graph_pagerank_k", "graph_connected_components", "graph_largest_component", "kg_top_view", "kg_nhop_score")
 
@@ -53,3 +54,27 @@ def test_two_hop_scores_equal_the_listed_paths(spark):
     starts = spark.createDataFrame([(n, 1.0 / (n + 2)) for n in (3, 8, 9, 21, 77)], "name int, similarity double")
     want = {(r.src, r.dst): round(r.score, 9) for r in G.path_scores(starts, G.paths_from(starts, edges, 2)).collect()}
     assert len(want) > 9 and {(r.src, r.dst): round(r.score, 9) for r in G.two_hop_scores(starts, edges).collect()} == want
+
+
+@pytest.mark.parametrize("name", ("hybrid_fusion_weighted", "hybrid_rerank"))
+def test_hybrid_queries_take_whole_texts(spark, duck, name):  # noqa: F811
+    sql = without(SQL[name], ("substr(text, 1, 120) as text", "text"))
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
+
+
+def test_token_similarity_in_blocks_equals_the_join(spark):
+    random.seed(8)
+    word = lambda: f"w{min(random.randrange(60), random.randrange(60))}"
+    texts = spark.createDataFrame([(i, " ".join(word() for _ in range(random.randrange(30)))) for i in range(70)], "id long, text string")
+    index, terms = R.postings(texts, "id", "text"), R.query_terms(texts.where("id < 25"), "id", "text")
+    want = {(r.query_id, r.doc_id): round(r.similarity, 7) for r in R.token_similarity(terms, index).collect() if r.similarity >= 0.3}
+    for queries, size in ((128, 20_000), (3, 20)):
+        got = R.token_similarity_from(terms, index, 0.3, None, queries, size).collect()
+        assert len(got) == len(want) > 50 and {(r.query_id, r.doc_id): round(r.similarity, 7) for r in got} == want
+        got = {(r.query_id, r.doc_id): round(r.similarity, 7) for r in R.token_similarity_from(terms, index, 0.3, 4, queries, size).collect()}
+        assert got.items() <= want.items()
+        for i in range(25):
+            mine, all_ = (sorted((-s, d) for (q, d), s in x.items() if q == i) for x in (got, want))
+            assert mine[:4] == all_[:4]
+    pairs = texts.where("id < 25").selectExpr("id as query_id").crossJoin(texts.selectExpr("id as doc_id"))
+    assert {(r.query_id, r.doc_id): round(r.similarity, 7) for r in R.token_similarity_of(pairs, terms, index).collect() if r.similarity >= 0.3} == want
