@@ -78,3 +78,10 @@ def test_token_similarity_in_blocks_equals_the_join(spark):
             assert mine[:4] == all_[:4]
     pairs = texts.where("id < 25").selectExpr("id as query_id").crossJoin(texts.selectExpr("id as doc_id"))
     assert {(r.query_id, r.doc_id): round(r.similarity, 7) for r in R.token_similarity_of(pairs, terms, index).collect() if r.similarity >= 0.3} == want
+
+
+def test_citations_take_all_sentences(spark, duck):  # noqa: F811
+    sql = without(SQL["citation_assign"], (" and sentence_no < 4", ""))
+    got = QUERIES["citation_assign"](spark, DATA).toPandas()
+    assert got.sentence_no.max() > 3
+    assert rows(got) == rows(duck.execute(sql).df())
