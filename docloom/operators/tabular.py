@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.runtime import materialize, release
+
 INT, FLOAT, BOOL = r"^[+-]?[0-9]{1,18}$", r"^[+-]?[0-9]*\.?[0-9]+$", r"(?i)^(true|yes|false|no|是|否|✓|×)$"
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9:.]+)?$"
 #: Suffix of a typed column.
@@ -86,27 +88,58 @@ def overlaps(boxes: DataFrame, regions: DataFrame, least: float, cell: int = 256
     return j.select("box_id", "region_id", (w * h / area).alias("share")).where(F.col("share") >= least)
 
 
-def non_max(boxes: DataFrame, most: float = 0.2, least: float = 0.0) -> DataFrame:
-    """Greedy suppression per page and class: by falling score, boxes whose overlap with a kept one is below ``most``."""
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.score > least].sort_values(["score", "box_id"], ascending=[False, True])
-        kept: list = []
-        for r in pdf.itertuples():
-            ok = True
-            for k in kept:
-                w, h = min(r.x1, k.x1) - max(r.x0, k.x0), min(r.bottom, k.bottom) - max(r.top, k.top)
-                both = max(0, w) * max(0, h)
-                union = (r.x1 - r.x0) * (r.bottom - r.top) + (k.x1 - k.x0) * (k.bottom - k.top) - both
-                if union > 0 and both / union >= most:
-                    ok = False
-                    break
-            if ok:
-                kept.append(r)
-        return pdf[pdf.box_id.isin([k.box_id for k in kept])]
-
-    return boxes.groupBy("page", "kind").applyInPandas(keep, boxes.schema)
+def non_max(boxes: DataFrame, most: float = 0.2, least: float = 0.0, cell: int = 64, local: int = 200_000) -> DataFrame:
+    """Greedy suppression per page and class: by falling score, boxes whose overlap with a kept one is below ``most`` (0 to 1, not 0).
+
+    box_id is unique per page and class; ties of score fall to the smaller. Of equal boxes the first stands for all, since what
+    removes it removes them. Overlapping pairs meet on a grid of ``cell`` units; a round keeps what no undecided better box
+    overlaps and removes what those overlap, which is the greedy result. The last ``local`` pairs are settled on the driver.
+    Boxes without area or with a null coordinate overlap nothing.
+    """
+    spark, sides = boxes.sparkSession, ["x0", "x1", "top", "bottom"]
+    scored = materialize(boxes.where(F.col("score") > least))
+    keyed = scored.withColumn("_k", F.struct("page", "kind"))
+    solid = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("bottom") > F.col("top")), F.lit(False))
+    first = keyed.where(solid).groupBy("_k", *sides).agg(F.min(F.struct((-F.col("score")).alias("s"), "box_id")).alias("_p"))
+    first = materialize(first.withColumn("_i", F.monotonically_increasing_id()))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    grid = first.withColumn("_x", cells("x0", "x1")).withColumn("_y", cells("top", "bottom"))
+    other = grid.select("_k", "_x", "_y", F.col("_i").alias("lo"), F.col("_p").alias("_q"), *[F.col(c).alias(f"r_{c}") for c in sides])
+    left, upper = F.greatest("x0", "r_x0"), F.greatest("top", "r_top")
+    w, h = F.least("x1", "r_x1") - left, F.least("bottom", "r_bottom") - upper
+    area = (F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top")) + (F.col("r_x1") - F.col("r_x0")) * (F.col("r_bottom") - F.col("r_top"))
+    met = grid.join(other, ["_k", "_x", "_y"]).where((F.col("_p") < F.col("_q")) & (w > 0) & (h > 0) & (F.col("_x") == F.floor(left / cell)) & (F.col("_y") == F.floor(upper / cell)))
+    pairs = materialize(met.where(w * h / (area - w * h) >= most).select(F.col("_i").alias("hi"), "lo"))
+    removed = spark.createDataFrame([], "lo long")
+    while pairs.count() > local:
+        better = pairs.select("hi").distinct().join(pairs.select(F.col("lo").alias("hi")), "hi", "left_anti")
+        gone = materialize(pairs.join(better, "hi", "left_semi").select("lo").distinct())
+        rest = pairs.join(better, "hi", "left_anti").join(gone.select(F.col("lo").alias("hi")), "hi", "left_anti").join(gone, "lo", "left_anti")
+        rest = materialize(rest.select("hi", "lo"))
+        release(pairs)
+        pairs, removed = rest, removed.unionByName(gone)
+    removed = removed.unionByName(spark.createDataFrame([(i,) for i in _suppressed(pairs.collect())], "lo long"))
+    stay = first.join(removed, F.col("_i") == F.col("lo"), "left_anti").select("_k", F.col("_p.box_id").alias("box_id"))
+    return keyed.where(solid).join(stay, ["_k", "box_id"], "left_semi").unionByName(keyed.where(~solid)).select(*boxes.columns)
+
+
+def _suppressed(pairs: list) -> set:
+    """What greedy order removes, of pairs (better, worse)."""
+    under: dict = {}
+    open_: dict = {}
+    for hi, lo in pairs:
+        under.setdefault(hi, []).append(lo)
+        open_[lo] = open_.get(lo, 0) + 1
+    ready, gone = [i for i in under if i not in open_], set()
+    while ready:
+        i = ready.pop()
+        for lo in under.get(i, ()):
+            if i not in gone:
+                gone.add(lo)
+            open_[lo] -= 1
+            if open_[lo] == 0:
+                ready.append(lo)
+    return gone
 
 
 def merged_horizontally(boxes: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def theta_box_overlap(spark, sf_dir):
 
 
 def box_non_max(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = l_linenumber")
+    li = table(spark, sf_dir, "lineitem")
     box = li.select((F.col("l_suppkey") % 10).alias("page"), F.col("l_returnflag").alias("kind"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("box_id"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + 40).alias("x1"), (F.col("l_tax") * 500).alias("top"), (F.col("l_tax") * 500 + 30).alias("bottom"), F.col("l_extendedprice").alias("score"))
     return T.non_max(box.dropDuplicates(["box_id"])).select("box_id")
 

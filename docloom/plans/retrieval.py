@@ -1,4 +1,4 @@
-"""Retrieval queries. Questions are the evaluation items divisible by 50 against all documents."""
+"""Retrieval queries. Questions are the evaluation items divisible by 50 against all documents; term weights are of all items."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ def token_similarity_topk(spark, sf_dir):
 
 
 def term_weights(spark, sf_dir):
-    return _terms(spark, sf_dir).select("query_id", "term", F.round("weight", 6).alias("weight"))
+    return R.query_terms(table(spark, sf_dir, "eval_items"), "item_id", "text").select("query_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def paragraph_query_topn(spark, sf_dir):

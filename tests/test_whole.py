@@ -8,6 +8,7 @@ from test_queries import DATA, QUERIES, SQL, duck, rows  # noqa: F401
 
 from docloom.operators import graph as G
 from docloom.operators import retrieval as R
+from docloom.operators import tabular as T
 
 GRAPH = ("graph_degree_rank", "graph_endpoint_semi", "graph_pagerank_k", "graph_connected_components", "graph_largest_component", "kg_top_view", "kg_nhop_score")
 
@@ -85,3 +86,39 @@ def test_citations_take_all_sentences(spark, duck):  # noqa: F811
     got = QUERIES["citation_assign"](spark, DATA).toPandas()
     assert got.sentence_no.max() > 3
     assert rows(got) == rows(duck.execute(sql).df())
+
+
+def greedy(boxes, most=0.2):
+    """Brute force: boxes as (page, kind, id, x0, x1, top, bottom, score)."""
+    kept: list = []
+    for b in sorted((b for b in boxes if b[7] > 0), key=lambda b: (-b[7], b[2])):
+        for k in (k for k in kept if k[:2] == b[:2]):
+            both = max(0, min(b[4], k[4]) - max(b[3], k[3])) * max(0, min(b[6], k[6]) - max(b[5], k[5]))
+            union = (b[4] - b[3]) * (b[6] - b[5]) + (k[4] - k[3]) * (k[6] - k[5]) - both
+            if union > 0 and both / union >= most:
+                break
+        else:
+            kept.append(b)
+    return sorted(k[2] for k in kept)
+
+
+@pytest.mark.parametrize("local", (0, 40, 200_000))
+def test_suppression_is_greedy(spark, local):
+    random.seed(11)
+    boxes = []
+    for i in range(300):
+        x, y = random.randrange(0, 300, 10), random.randrange(-50, 90, 10)
+        boxes.append((random.choice((1, 2, None)), random.choice("ab"), f"b{i}", float(x), float(x + random.choice((0, 40, 60, 200))), float(y), float(y + random.choice((-5, 30, 40))), float(random.randrange(0, 60))))
+    df = spark.createDataFrame(boxes, "page int, kind string, box_id string, x0 double, x1 double, top double, bottom double, score double")
+    assert sorted(r.box_id for r in T.non_max(df, local=local).collect()) == greedy(boxes)
+
+
+def test_box_non_max_takes_all_rows(spark, duck):  # noqa: F811
+    boxes = duck.execute("select l_suppkey % 10, l_returnflag, concat_ws('-', l_orderkey, l_linenumber, l_partkey), l_quantity * 10, l_quantity * 10 + 40, l_tax * 500, l_tax * 500 + 30, l_extendedprice from lineitem").fetchall()
+    boxes = list({b[2]: b for b in boxes}.values())
+    assert sorted(QUERIES["box_non_max"](spark, DATA).toPandas().box_id) == greedy(boxes)
+
+
+def test_term_weights_of_all_items(spark, duck):  # noqa: F811
+    sql = without(SQL["term_weights"], (" where item_id % 50 = 0", ""))
+    assert rows(QUERIES["term_weights"](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
