@@ -9,6 +9,7 @@ from docloom.functions.lexical import char_bigrams, clean_name
 from docloom.runtime import materialize, release, small
 
 SEPARATOR = "<SEP>"
+LATIN = "^[A-Za-z0-9 .,'_-]+$"
 
 
 def parse_records(df: DataFrame, text: str, source: str, field: str = "<|>", record: str = "##") -> tuple[DataFrame, DataFrame]:
@@ -161,7 +162,7 @@ def similar_names(a: Column, b: Column) -> Column:
     x, y = char_bigrams(a), char_bigrams(b)
     differing = F.concat(F.array_except(x, y), F.array_except(y, x))
     digits = F.exists(differing, lambda p: p.rlike("[0-9]"))
-    latin = a.rlike("^[A-Za-z0-9 .,'_-]+$") & b.rlike("^[A-Za-z0-9 .,'_-]+$")
+    latin = a.rlike(LATIN) & b.rlike(LATIN)
     close = F.levenshtein(a, b) <= F.floor(F.least(F.length(a), F.length(b)) / 2)
     ca, cb = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
     most = F.greatest(F.size(ca), F.size(cb))
@@ -169,17 +170,25 @@ def similar_names(a: Column, b: Column) -> Column:
     return ~digits & F.when(latin, close).when(most < 4, both > 1).otherwise(both >= 0.8 * most)
 
 
-def resolution_pairs(nodes: DataFrame, most: int = 2000) -> DataFrame:
-    """(a, b): candidate pairs of one type whose names are similar, a < b.
+def resolution_pairs(nodes: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b): all pairs of one type whose names are similar, a < b.
 
-    Similar Latin names keep at least half of the shorter one, hence share a two-character piece: pairs are found by rare pieces
-    (in at most ``most`` names of the type), the commoner ones only extend pairs that start alike.
+    Complete for ``similar_names``. Within floor(shorter / 2) edits two Latin names have at least half of each one's characters in common,
+    counted with repeats, so the rarer half of them and one more must meet; other pairs share 80 % of their distinct characters, or
+    two of up to three. Keys of many names are paired in blocks.
     """
-    n = nodes.select("name", "type", F.explode(char_bigrams(F.col("name"))).alias("g"))
-    df = n.groupBy("type", "g").agg(F.count("*").alias("_n"))
-    keyed = n.join(df, ["type", "g"]).select("name", "type", F.when(F.col("_n") > most, F.concat("g", F.substring("name", 1, 3))).otherwise(F.col("g")).alias("g")).distinct()
-    other = keyed.select("type", "g", F.col("name").alias("b"))
-    return keyed.withColumnRenamed("name", "a").join(other, ["type", "g"]).where("a < b").select("a", "b").distinct().where(similar_names(F.col("a"), F.col("b")))
+    names = nodes.select("name", "type").where("name is not null and type is not null").distinct()
+    chars = names.withColumn("latin", F.col("name").rlike(LATIN)).withColumn("c", F.filter(F.split("name", ""), lambda x: x != ""))
+    counted = chars.select("name", "type", "latin", F.explode("c").alias("c")).groupBy("name", "type", "latin", "c").agg(F.count("*").cast("int").alias("n"))
+    latin = counted.where("latin").select("name", "type", F.lit("L").alias("kind"), "c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("no"))
+    keys = latin.unionByName(counted.select("name", "type", F.lit("C").alias("kind"), "c", F.lit(1).alias("no")))
+    df = keys.groupBy("type", "kind", "c", "no").agg(F.count("*").alias("_n"))
+    per = keys.join(df, ["type", "kind", "c", "no"]).groupBy("name", "type", "kind").agg(F.array_sort(F.collect_list(F.struct("_n", "c", "no"))).alias("k"))
+    n = F.size("k")
+    shared = F.when(F.col("kind") == "L", F.ceil(n / 2)).when(n < 4, F.lit(2)).otherwise(F.ceil(n * 4 / 5)).cast("int")
+    rare = per.where(n >= shared).select("name", "type", "kind", F.explode(F.slice("k", F.lit(1), n - shared + 1)).alias("k"))
+    keyed = rare.select("name", F.struct("type", "kind", "k.c", "k.no").alias("g"))
+    return shared_pairs(keyed, "g", "name", block).select(F.col("src").alias("a"), F.col("dst").alias("b")).where(similar_names(F.col("a"), F.col("b")))
 
 
 def merge_resolved(nodes: DataFrame, edges: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -74,10 +74,13 @@ def entity_resolution_pairs(spark, sf_dir):
 
 
 def entity_resolution_merge(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").select(F.upper("p_name").alias("name"), F.col("p_type").alias("type")).distinct()
-    edges = _edges(spark, sf_dir).limit(0).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
-    merged, _ = G.merge_resolved(nodes, edges, G.resolution_pairs(nodes))
-    return merged.groupBy("name").agg(F.count("*").alias("n"))
+    """Names after merging: nodes of each, and its links to other names, by orders shared."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("name"), F.col("p_type").alias("type"))
+    nodes = part.select("name", "type").distinct()
+    ordered = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    merged, edges = G.merge_resolved(nodes, G.shared_pairs(ordered, "l_orderkey", "name"), G.resolution_pairs(nodes))
+    links = G.degrees(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))).withColumnRenamed("node", "name")
+    return merged.groupBy("name").agg(F.count("*").alias("n")).join(links, "name", "left").select("name", "n", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
 def kg_top_view(spark, sf_dir):

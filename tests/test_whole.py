@@ -122,3 +122,30 @@ def test_box_non_max_takes_all_rows(spark, duck):  # noqa: F811
 def test_term_weights_of_all_items(spark, duck):  # noqa: F811
     sql = without(SQL["term_weights"], (" where item_id % 50 = 0", ""))
     assert rows(QUERIES["term_weights"](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
+
+
+def test_resolution_pairs_are_complete(spark):
+    random.seed(12)
+    names = {"ABCD", "AXCX", "XBYD", "A", "AB", "数据平台", "数据台平", "平台数据库", "аб", "баа", "abé", "éba"}
+    names |= {"".join(random.choice("ABC1é") for _ in range(random.randrange(1, 9))) for _ in range(60)} | {"".join(random.choice("ABCDE ") for _ in range(random.randrange(1, 9))) for _ in range(60)}
+    nodes = spark.createDataFrame([(n, t) for n in names for t in ("x", "y") if t == "x" or len(n) % 2], "name string, type string")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a string, b string")
+    want = {(r.a, r.b) for r in pairs.where(G.similar_names(pairs.a, pairs.b)).collect()}
+    assert ("ABCD", "AXCX") in want
+    for block in (7, 512):
+        got = [(r.a, r.b) for r in G.resolution_pairs(nodes, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_resolution_merge_moves_real_edges(spark, duck):  # noqa: F811
+    at = {r[0]: r[0] for r in duck.execute("select distinct upper(p_name) from part").fetchall()}
+    for a, b in duck.execute(SQL["entity_resolution_pairs"]).fetchall():
+        x, y = sorted((at[a], at[b]))
+        at = {k: x if v == y else v for k, v in at.items()}
+    want = dict.fromkeys(at.values(), 0.0)
+    for a, b in duck.execute("with n as (select distinct l_orderkey as o, upper(p_name) as n from lineitem join part on l_partkey = p_partkey) select a.n, b.n from n a join n b on a.o = b.o and a.n < b.n").fetchall():
+        if at[a] != at[b]:
+            want[at[a]] += 1
+            want[at[b]] += 1
+    got = QUERIES["entity_resolution_merge"](spark, DATA).toPandas()
+    assert dict(zip(got.name, got.strength)) == want and sum(want.values()) > 0
