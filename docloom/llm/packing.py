@@ -272,16 +272,17 @@ def _ranks(items: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def collections(shards: DataFrame) -> DataFrame:
-    """(collection, cap, n_items, n_packed, n_reading, n_best, fewer): containers per collection.
+    """(collection, cap, n_items, n_packed, n_reading, n_best, fewer, undecided): containers per collection.
 
     n_packed: retrieval packing; n_reading: filling in reading order; n_best: after the exact step. Collections
     of several shards chain the shards' maps in tiers; their exact step works on the histogram of sizes, at most
-    ``cap`` numbers however many items there are.
+    ``cap`` numbers however many items there are. There ``undecided`` marks those for which neither fewer containers were found
+    nor the lower bound excludes them.
     """
     parts = shards.groupBy("collection").agg(
         F.max("cap").alias("cap"), F.sum("n_items").alias("n_items"), F.sum("n_bins").alias("n_packed"), F.array_sort(F.collect_list(F.struct("shard", "fit_map", "histogram"))).alias("parts")
     )
-    schema = "collection string, cap int, n_items bigint, n_packed bigint, n_reading bigint, n_best bigint, fewer boolean"
+    schema = "collection string, cap int, n_items bigint, n_packed bigint, n_reading bigint, n_best bigint, fewer boolean, undecided boolean"
 
     def run(batches):
         for b in batches:
@@ -289,20 +290,25 @@ def collections(shards: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 cap = r["cap"]
                 reading = chain(json.loads(p["fit_map"]) for p in r["parts"])
-                best = r["n_packed"]
+                best, undecided = r["n_packed"], False
                 if best >= reading > 1:
                     hist: Counter = Counter()
                     for p in r["parts"]:
                         for s, n in json.loads(p["histogram"]):
                             hist[s] += n
-                    sizes = sorted(hist.elements(), reverse=True) if r["n_items"] <= 4 * SHARD else None
-                    if sizes is None:
-                        best = min(best, _first_fit(hist, cap))
-                    elif lower_bound(sizes, cap) < reading and fits(sizes, cap, reading - 1):
-                        best = reading - 1
-                rows.append((r["collection"], cap, r["n_items"], r["n_packed"], reading, min(best, reading), best < reading))
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            names = ["collection", "cap", "n_items", "n_packed", "n_reading", "n_best", "fewer"]
+                    if r["n_items"] > 4 * SHARD:
+                        if _least_bins(hist, cap) < reading:
+                            best = min(best, _first_fit(hist, cap))
+                            if best >= reading:
+                                best = min(best, _pattern_fill(hist, cap, reading - 1))
+                            undecided = best >= reading
+                    else:
+                        sizes = sorted(hist.elements(), reverse=True)
+                        if lower_bound(sizes, cap) < reading and fits(sizes, cap, reading - 1):
+                            best = reading - 1
+                rows.append((r["collection"], cap, r["n_items"], r["n_packed"], reading, min(best, reading), best < reading, undecided))
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            names = ["collection", "cap", "n_items", "n_packed", "n_reading", "n_best", "fewer", "undecided"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
     return parts.mapInArrow(run, schema)
@@ -335,6 +341,56 @@ def _first_fit(hist: Counter, cap: int) -> int:
     return bins
 
 
+def _least_bins(hist: Counter, cap: int) -> int:
+    """``lower_bound`` of a histogram."""
+    rows = sorted((s, n) for s, n in hist.items() if n)
+    best = max(-(-sum(s * n for s, n in rows) // cap), sum(n for s, n in rows if 2 * s > cap))
+    for k in (s for s, _ in rows if s <= cap // 2):
+        big = sum(n for s, n in rows if s > cap - k)
+        mid = [(s, n) for s, n in rows if cap - k >= s and 2 * s > cap]
+        low = sum(s * n for s, n in rows if 2 * s <= cap and s >= k)
+        best = max(best, big + sum(n for _, n in mid) + max(0, -(-(low - sum((cap - s) * n for s, n in mid)) // cap)))
+    return best
+
+
+def _pattern(rows: list[tuple[int, int]], room: int) -> Counter:
+    """The fullest choice of the sizes (size, count) within ``room``, by reachable sums as bits."""
+    mask, reach, steps = (1 << (room + 1)) - 1, 1, []
+    for s, n in rows:
+        n, k = min(n, room // s), 1
+        while n > 0:
+            k = min(k, n)
+            steps.append((s, k, reach))
+            reach |= reach << s * k & mask
+            n, k = n - k, 2 * k
+        if reach >> room:
+            break
+    at, out = reach.bit_length() - 1, Counter()
+    for s, k, before in reversed(steps):
+        if not before >> at & 1:
+            out[s] += k
+            at -= s * k
+    return out
+
+
+def _pattern_fill(hist: Counter, cap: int, most: int) -> int:
+    """Containers when the largest size left is always filled up best, as often as the counts allow. Once at most 4 * SHARD items are
+    left, ``fits`` searches them for what is left of ``most``."""
+    left, bins, searched = +hist, 0, False
+    while left:
+        if not searched and left.total() <= 4 * SHARD:
+            searched = True
+            if most > bins and fits(sorted(left.elements(), reverse=True), cap, most - bins):
+                return most
+        top = max(left)
+        rest = left - Counter({top: 1})
+        one = _pattern(sorted(rest.items(), reverse=True), cap - top) + Counter({top: 1})
+        times = min(left[s] // n for s, n in one.items())
+        bins += times
+        left -= Counter({s: n * times for s, n in one.items()})
+    return bins
+
+
 def containers(shards: DataFrame, sizes: DataFrame) -> DataFrame:
     """(collection, container, item, fill): one row per item; ``container`` is named by shard and number."""
     boxes = shards.select("collection", "shard", "cap", F.posexplode(F.from_json("bins", "array<array<string>>")).alias("_k", "_ids"))
