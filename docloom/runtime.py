@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import tempfile
 import uuid
 
@@ -10,14 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[object, str]] = []
+_CHOSEN: dict[str, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """Folder every executor can reach, for written tables.
+
+    ``folder``, where given, is used by this application from now on; else the one that ``spark.checkpoint.dir`` names. Where that is unset too,
+    a session whose master is local gets a folder of its own; on a cluster it is an error, since no machine's own disk is shared.
+    """
+    app = spark.sparkContext.applicationId
+    if folder:
+        _CHOSEN[app] = folder
+    where = _CHOSEN.get(app) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = _CHOSEN[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(lambda made=where[7:]: os.path.isdir(made) and not os.listdir(made) and os.rmdir(made))
     return where.rstrip("/")
 
 
@@ -69,9 +82,22 @@ def plan_bytes(df: DataFrame) -> int:
 BROADCAST_BYTES = 32 << 20
 
 
+#: Nodes of a plan that may hand on more bytes than they read, so that no estimate above them is a bound.
+_SWELLING = re.compile(r"\b(?:MapInArrow|MapInPandas|FlatMap\w*|ArrowEvalPython\w*|BatchEvalPython\w*|Generate|Expand|\w*Join|Union|LogicalRDD|ExternalRDD|Range)\b")
+
+
+def bounded(df: DataFrame) -> bool:
+    """Whether the plan's size estimate is a bound: files, filtered, projected or aggregated, but nothing that swells them."""
+    return not _SWELLING.search(df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only while the estimated size is below ``limit``; beyond it the join shuffles."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    """Hint a broadcast only where the plan proves a size of at most ``limit``, or is a materialized frame of it.
+
+    Beyond that, and above Python functions, generators and joins, whose output no estimate bounds, the join shuffles; adaptive
+    execution still turns it into a broadcast once the size of that shuffle is known.
+    """
+    return F.broadcast(df) if bounded(df) and plan_bytes(df) <= limit else df
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:

@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import os
 import zipfile
 
 import pytest
@@ -115,3 +116,34 @@ def test_research_and_alignment(spark):
     chunks = spark.createDataFrame([("d", 0, "c0", "one two"), ("d", 1, "c1", "three"), ("d", 2, "c2", None)], "doc_id string, chunk_no int, chunk_id string, text string")
     blocks = spark.createDataFrame([("d", 0, "b0", "one"), ("d", 1, "b1", "two"), ("d", 2, "b2", "three")], "doc_id string, block_no int, block_id string, text string")
     assert {r.chunk_id: r.block_ids for r in align(chunks, blocks).collect()} == {"c0": ["b0", "b1"], "c1": ["b2"], "c2": []}
+
+
+def test_written_tables_need_no_setting_on_a_local_session():
+    """A fresh session without any configuration: the folder is chosen once, a given one is used instead."""
+    import subprocess
+    import sys
+    import tempfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as empty, tempfile.TemporaryDirectory() as given:
+        code = (
+            "from pyspark.sql import SparkSession\nfrom docloom import runtime as R\nimport os\n"
+            "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "a = R.materialize(s.range(3)); assert a.count() == 3 and R.shared_dir(s) == R.shared_dir(s)\n"
+            f"R.shared_dir(s, 'file://{given}'); b = R.materialize(s.range(4)); assert b.count() == 4 and os.listdir('{given}')\n"
+            "R.release(a); R.release(b); s.stop()\n"
+        )
+        env = {**os.environ, "SPARK_CONF_DIR": empty, "PYTHONPATH": root}
+        subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=root)
+
+
+def test_broadcasts_only_of_proven_sizes(spark, tmp_path):
+    from docloom import runtime as R
+
+    rows = R.materialize(spark.range(100).selectExpr("id", "array(1, 2) as a"))
+    assert R.bounded(rows) and R.bounded(rows.groupBy("id").count()) and R.bounded(rows.where("id > 3").select("id"))
+    assert not R.bounded(rows.selectExpr("explode(a)")) and not R.bounded(rows.join(rows, "id"))
+    assert not R.bounded(rows.select("id").mapInArrow(lambda b: b, "id long"))
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(R.small(rows)) and not hinted(R.small(rows, 10)) and not hinted(R.small(rows.selectExpr("explode(a)")))
