@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import blocks, settings, with_settings
-from docloom.llm.splitting import oversized, pieces
+from docloom.llm.splitting import cut_points, may_exceed, of_oversized, pieces
+from docloom.runtime import materialize
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_settings(blocks(spark, sf_dir, "document_id", "text"), settings(spark, sf_dir))
-    return rows.select(F.col("block_id").alias("item"), "text", "limit", "overlap")
+    return rows.where(may_exceed(F.col("text"), F.col("limit"))).select(F.col("block_id").alias("item"), "text", "limit", "overlap")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oversized(_items(spark, sf_dir)).select(F.col("item").alias("block_id"))
+    """The blocks that are cut: each has at least two pieces."""
+    points = cut_points(of_oversized(materialize(_items(spark, sf_dir))))
+    return points.where("piece_no = 1").select(F.col("item").alias("block_id"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(_items(spark, sf_dir)).select(F.col("item").alias("block_id"), "piece_no", "start", "new", "end", "n_tokens", "text")
+    return pieces(materialize(_items(spark, sf_dir))).select(F.col("item").alias("block_id"), "piece_no", "start", "new", "end", "n_tokens", "text")
 
 
 QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
