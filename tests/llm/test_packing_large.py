@@ -22,7 +22,9 @@ def test_histogram_bound_and_patterns():
         sizes = [random.randrange(1, cap + 1) for _ in range(random.randrange(1, 30))]
         hist = Counter(sizes)
         assert P._least_bins(hist, cap) == P.lower_bound(sizes, cap)
-        assert P.lower_bound(sizes, cap) <= P._pattern_fill(hist, cap, 0)
+        for boxes in (P._pattern_fill(hist, cap, 0), P._first_fit(hist, cap)):
+            assert P.lower_bound(sizes, cap) <= sum(n for n, _ in boxes)
+            assert all(sum(b) <= cap for _, b in boxes) and sum((Counter({s: n * b.count(s) for s in set(b)}) for n, b in boxes), Counter()) == hist
         one = P._pattern(sorted(hist.items(), reverse=True), cap)
         sums = {0}
         for s in sizes:
