@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.windows import codes, window_hashes
-from docloom.runtime import small
+from docloom.runtime import materialize, small
 
 RUN = 100
 #: Longest name or unit that is masked; longer ones stand as they are.
@@ -33,6 +33,8 @@ BITS = 23
 DROP = re.compile(r"[\W_]+")
 NAMED = re.compile(r"\b([A-Z][a-z]{2,11})(?= (?:Mk )?[A-Z]?\d)")
 UNIT = re.compile(r"\d ?([a-zA-Z]{1,12})\b")
+#: Share of a word's occurrences that must stand in the place of a name or unit: words that also stand elsewhere are words.
+TYPICAL = 0.5
 NUMBER, NAME, UNITS = ord("0"), 0xE001, 0xE002
 
 TOKENS = 16
@@ -88,7 +90,8 @@ class Canonical:
 
 
 def vocabulary(items: DataFrame, most: int = 200_000) -> Canonical:
-    """Names and units that the items use. The words are counted in the cluster; more than ``most`` are refused."""
+    """Names and units that the items use: words that stand before a model number, or after a number, in at least TYPICAL of
+    their occurrences. The words are counted in the cluster; more than ``most`` are refused."""
 
     def find(batches):
         for b in batches:
@@ -96,12 +99,15 @@ def vocabulary(items: DataFrame, most: int = 200_000) -> Canonical:
             for t in b.column(0).to_pylist():
                 found.update(("n", w.lower()) for w in NAMED.findall(t or ""))
                 found.update(("u", w.lower()) for w in UNIT.findall(t or ""))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["kind", "word"])
+                found.update(("w", w.lower()) for w in re.findall(r"[a-zA-Z]{1,12}", t or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["kind", "word", "n"])
 
-    rows = items.select("text").mapInArrow(find, "kind string, word string").distinct().limit(most + 1).collect()
+    counts = items.select("text").mapInArrow(find, "kind string, word string, n bigint").groupBy("word").pivot("kind", ["n", "u", "w"]).sum("n")
+    typical = lambda k: F.coalesce(F.col(k), F.lit(0)) >= F.greatest(F.lit(1), TYPICAL * F.coalesce("w", F.lit(0)))
+    rows = counts.select("word", typical("n").alias("named"), typical("u").alias("unit")).where("named or unit").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} names and units")
-    return Canonical([r.word for r in rows if r.kind == "n"], [r.word for r in rows if r.kind == "u"])
+    return Canonical([r.word for r in rows if r.named], [r.word for r in rows if r.unit])
 
 
 def _char_windows(df: DataFrame, key: str, canon: Canonical, step: int, bitmap=None) -> DataFrame:
@@ -153,13 +159,27 @@ def common_run(b1: str, a1: str, b2: str, a2: str) -> int:
     return left + right
 
 
+def consistent(item: str, doc: str) -> str:
+    """How the slots of two windows of one template differ: 'same' where every value stays as it is, 'changed' where one value always
+    becomes the same other one and the reverse, else 'mixed'. Windows have equal lengths; runs of characters that differ are the slots."""
+    if item == doc:
+        return "same"
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    for m in re.finditer(r"\d+|[^\W\d_]+", item):
+        a, b = m.group(), doc[m.start() : m.end()]
+        if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+            return "mixed"
+    return "changed"
+
+
 def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:
     """Distinct (item_id, doc_id) whose stripped texts share at least ``RUN`` characters in one run.
 
     Null ids and texts, and texts of fewer characters, take no part. Extra columns are ignored.
     """
     canon = vocabulary(items)
-    left = _char_windows(items.select(F.col(item_id).alias("k"), "text"), "k", canon, 1)
+    left = materialize(_char_windows(items.select(F.col(item_id).alias("k"), "text"), "k", canon, 1))
     right = _char_windows(docs.select(F.col(doc_id).alias("k"), "text"), "k", canon, STEP, _bitmap(left))
     pairs = right.select(F.col("key").alias("doc_id"), "h", F.col("before").alias("b2"), F.col("inside").alias("i2"), F.col("after").alias("a2")).join(small(left.withColumnRenamed("key", "item_id")), "h")
 
@@ -169,7 +189,7 @@ def leaks(items: DataFrame, docs: DataFrame, item_id: str = "item_id", doc_id: s
             found = {
                 (it, d)
                 for it, d, b1, i1, a1, b2, i2, a2 in zip(c["item_id"], c["doc_id"], c["before"], c["inside"], c["after"], c["b2"], c["i2"], c["a2"])
-                if i1 == i2 and len(i1) + common_run(b1, a1, b2, a2) >= RUN
+                if consistent(i1, i2) == "same" and len(i1) + common_run(b1, a1, b2, a2) >= RUN
             }
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["item_id", "doc_id"])
 
@@ -220,7 +240,7 @@ def reparameterised(items: DataFrame, docs: DataFrame, item_id: str = "item_id",
     document value and the reverse. At least one value must differ; unchanged copies are :func:`leaks`.
     """
     canon = vocabulary(items)
-    left = _token_windows(items.select(F.col(item_id).alias("k"), "text"), "k", canon)
+    left = materialize(_token_windows(items.select(F.col(item_id).alias("k"), "text"), "k", canon))
     right = _token_windows(docs.select(F.col(doc_id).alias("k"), "text"), "k", canon, _bitmap(left))
     pairs = right.select(F.col("key").alias("doc_id"), "h", F.col("slots").alias("_d")).join(small(left.select(F.col("key").alias("item_id"), "h", F.col("slots").alias("_i"))), "h")
     both = F.arrays_zip("_i", "_d")

@@ -24,28 +24,39 @@ def source_sizes(sized: DataFrame, source: str = "source", size: str = "n_tokens
     return sized.select(name.alias("source"), F.coalesce(F.col(size), F.lit(0)).alias("_n")).where("source is not null").groupBy("source").agg(F.sum("_n").alias("own"), F.count("*").alias("n_docs"))
 
 
-def fill(shares: dict[str, float], caps: dict[str, float], total: float) -> dict[str, float]:
-    """Sizes per source: proportional to ``shares``, none above its cap, summing to ``total`` where the caps allow it."""
+def water(shares: dict[str, float], caps: dict[str, float], total: float) -> tuple[dict[str, float], dict[str, int]]:
+    """(sizes, rounds): sizes proportional to ``shares``, none above its cap, summing to ``total`` where the caps allow it.
+
+    A source that the level of a round puts above its cap is clamped there, and the excess raises the level for the others.
+    ``rounds`` has the round in which a source was clamped: 0 means that its own target is beyond it, a later one that
+    only what others left over is.
+    """
     given: dict[str, float] = {}
-    open_, left = {s for s, w in shares.items() if w > 0}, total
+    rounds: dict[str, int] = {}
+    open_, left, k = {s for s, w in shares.items() if w > 0}, total, 0
     while open_:
-        weight = sum(shares[s] for s in open_)
-        over = {s for s in open_ if shares[s] / weight * left > caps[s]}
+        level = left / sum(shares[s] for s in open_)
+        over = {s for s in open_ if shares[s] * level > caps[s]}
         if not over:
-            given.update({s: shares[s] / weight * left for s in open_})
+            given.update({s: shares[s] * level for s in open_})
             break
         for s in over:
-            given[s] = caps[s]
+            given[s], rounds[s] = caps[s], k
             left -= caps[s]
-        open_ -= over
-    return {s: max(0.0, given.get(s, 0.0)) for s in shares}
+        open_, k = open_ - over, k + 1
+    return {s: max(0.0, given.get(s, 0.0)) for s in shares}, rounds
+
+
+def fill(shares: dict[str, float], caps: dict[str, float], total: float) -> dict[str, float]:
+    """The sizes of ``water``."""
+    return water(shares, caps, total)[0]
 
 
 def allocate(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """One row per target source: share, cap, allocation, whole epochs and the fractional rest.
 
     ``total`` is the size of the mix; by default that of all documents with a source. ``cannot_reach`` marks
-    sources that are clamped already at their own target. Null targets and repeats count 0; a target
+    sources that are clamped in the first round, at their own target. Null targets and repeats count 0; a target
     listed twice is summed (its larger ``max_repeats`` holds); a source without documents gets nothing.
     """
     spark = sizes.sparkSession
@@ -65,11 +76,11 @@ def allocate(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     shares = {r.source: float(r.share) for r in rows}
     reps = {r.source: int(r.reps) for r in rows}
     caps = {s: reps[s] * own[s] for s in own}
-    given = fill(shares, caps, want)
+    given, rounds = water(shares, caps, want)
     out = []
     for s in sorted(own):
         whole = min(reps[s], int(given[s] // own[s])) if own[s] else 0
-        out.append((s, shares[s], reps[s], int(own[s]), given[s], whole, given[s] - whole * own[s] if whole < reps[s] else 0.0, shares[s] * want > caps[s]))
+        out.append((s, shares[s], reps[s], int(own[s]), given[s], whole, given[s] - whole * own[s] if whole < reps[s] else 0.0, rounds.get(s) == 0))
     return spark.createDataFrame(out, "source string, target_share double, max_repeats int, own_tokens bigint, allocated double, whole int, rest double, cannot_reach boolean")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.spans import matches, merged, shared_parts, shared_regions, sharing_pairs
+from docloom.llm.spans import cleaned, matches, merged, shared_parts, shared_regions, sharing_pairs
 from docloom.runtime import materialize, table
 
 
@@ -39,8 +39,14 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the spans that stand elsewhere too."""
+    docs = _docs(spark, sf_dir)
+    return cleaned(docs, merged(shared_parts(*_matched(spark, sf_dir)))).select("doc_id", "n_removed", F.md5("text").alias("text_md5"))
+
+
 _WINDOWS = "w as (select distinct doc_id, unnest(list_transform(range(1, length(text) - 298), lambda p: substr(text, p, 300))) as s from documents where length(text) >= 300)"
-QUERIES = {"p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
+QUERIES = {"p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared, "p9_cleaned": p9_cleaned}
 SQL = {
     "p9_found": f"with {_WINDOWS} select distinct a.doc_id as doc_a, b.doc_id as doc_b from w a join w b on a.s = b.s and a.doc_id < b.doc_id",
     "p9_shared": """

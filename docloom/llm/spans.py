@@ -20,65 +20,62 @@ from pyspark.sql import functions as F
 
 from docloom.llm.automaton import SuffixAutomaton
 from docloom.llm.windows import codes, window_hashes, window_minima
-from docloom.runtime import materialize
+from docloom.runtime import materialize, release, small
 
 LEAST = 300
 WINDOW = 200
 SHARD = 400
-_REGION = "anchor bigint, doc_id bigint, at bigint, region string, region_id bigint"
-
-
-def regions(docs: DataFrame, least: int = LEAST, window: int = WINDOW, only: DataFrame | None = None) -> DataFrame:
-    """(anchor, doc_id, at, region, region_id): the surroundings of every anchor of every text of ``least`` or more characters.
+def anchors(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """(anchor, doc_id, at): the anchors of every text of ``least`` or more characters, and where each stands.
 
-    A region reaches ``least - window`` characters to both sides: enough to tell whether the span around an
-    anchor is long enough, whatever lies beyond.
+    ``docs``: doc_id, text. Null ids and texts take no part.
     """
     reach = least - window
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            a, d, p = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(t) < least:
-                    continue
-                h = window_hashes(codes(t), window)
-                for p in window_minima(h, reach + 1).tolist():
-                    begin = max(0, p - reach)
-                    cols[0].append(int(h[p].view(np.int64)))
-                    cols[1].append(k)
-                    cols[2].append(begin)
-                    cols[3].append(t[begin : p + window + reach])
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols[:4], [pa.int64(), pa.int64(), pa.int64(), pa.string()])], names=["anchor", "doc_id", "at", "region"])
+                if len(t) >= least:
+                    h = window_hashes(codes(t), window)
+                    at = window_minima(h, reach + 1)
+                    a.append(h[at].view(np.int64))
+                    d.append(np.full(len(at), k, np.int64))
+                    p.append(at)
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (a, d, p)], names=["anchor", "doc_id", "at"])
 
-    rows = docs.where("doc_id is not null and length(text) >= %d" % least).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "anchor bigint, doc_id bigint, at bigint, region string").withColumn("region_id", F.xxhash64("region"))
+    return _long(docs, least).mapInArrow(run, "anchor bigint, doc_id bigint, at bigint")
 
 
-def anchors(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """(anchor, doc_id): the anchors alone, to find those of two documents before any region is moved."""
+def _long(docs: DataFrame, least: int) -> DataFrame:
+    return docs.where("doc_id is not null and length(text) >= %d" % least).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def shared_regions(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+    """Materialized (anchor, doc_id, at, region, region_id): the surroundings of the anchors that occur in at least two documents.
+
+    A region reaches ``least - window`` characters to both sides of its anchor: enough to tell whether the span around it
+    is long enough, whatever lies beyond. Texts are hashed once; only those with a shared anchor are read again, and cut.
+    """
     reach = least - window
+    found = materialize(anchors(docs, least, window))
+    hot = materialize(found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z")).where("_a < _z").select("anchor"))
+    shared = materialize(found.join(small(hot), "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at")).alias("cuts")))
+    release(found)
 
     def run(batches):
         for b in batches:
-            a, d = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(t) >= least:
-                    h = window_hashes(codes(t), window)
-                    got = np.unique(h[window_minima(h, reach + 1)]).view(np.int64)
-                    a.append(got)
-                    d.append(np.full(len(got), k, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), pa.array(np.concatenate(d) if d else np.zeros(0, np.int64))], names=["anchor", "doc_id"])
-
-    rows = docs.where("doc_id is not null and length(text) >= %d" % least).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "anchor bigint, doc_id bigint")
-
+            cols: list[list] = [[], [], [], []]
+            for k, t, cuts in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                for c in cuts:
+                    begin = max(0, c["at"] - reach)
+                    for col, x in zip(cols, (c["anchor"], k, begin, t[begin : c["at"] + window + reach])):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string()])], names=["anchor", "doc_id", "at", "region"])
 
-def shared_regions(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """The regions whose anchor occurs in at least two documents."""
-    hot = anchors(docs, least, window).groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z")).where("_a < _z").select("anchor")
-    several = materialize(hot)
-    return materialize(regions(docs, least, window).join(several, "anchor", "left_semi"))
+    rows = _long(docs, least).join(small(shared), "doc_id").select("doc_id", "text", "cuts")
+    return materialize(rows.mapInArrow(run, "anchor bigint, doc_id bigint, at bigint, region string").withColumn("region_id", F.xxhash64("region")))
 
 
 def matches(found: DataFrame, least: int = LEAST) -> DataFrame:
@@ -153,3 +150,18 @@ def merged(parts: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("begin", "end")
     flag = parts.withColumn("_new", (F.col("begin") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
     return flag.withColumn("_g", F.sum(F.coalesce("_new", F.lit(1))).over(w)).groupBy("doc_id", "_g").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_g")
+
+
+def cleaned(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, n_removed, text): documents without their ``merged`` stretches, which stand in another document too.
+
+    Every document is kept, also one that is left empty; null texts stay null.
+    """
+    spans = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_s"))
+    rows = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    # what stands between one stretch and the next: from the end of each, or the beginning, to the next begin, or the end
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_s", lambda s: s["end"].cast("bigint")))
+    ends = F.concat(F.transform("_s", lambda s: s["begin"].cast("bigint")), F.array(F.length("text").cast("bigint")))
+    kept = F.array_join(F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.substring(F.col("text"), (x["b"] + 1).cast("int"), (x["e"] - x["b"]).cast("int"))), "")
+    text = F.when(F.col("_s").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
+    return rows.withColumn("_t", text).select("doc_id", F.coalesce(F.length("text") - F.length("_t"), F.lit(0)).cast("bigint").alias("n_removed"), F.col("_t").alias("text"))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from docloom.llm.leakage import leaks, reparameterised, strip
+from docloom.llm.leakage import consistent, leaks, reparameterised, strip, vocabulary
 
 ITEMS = "item_id bigint, text string, h string, before string"
 DOCS = "doc_id bigint, text string, h string, key string"
@@ -53,3 +53,32 @@ def test_reparameterised_questions_keep_slots_consistent(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], ITEMS)
     assert leaks(none, spark.createDataFrame([(1, "x" * 200, "", "")], DOCS)).count() == 0
+
+
+def test_planted_questions_with_other_values_are_found(spark):
+    """Of 120 questions asked with other values, at least nine in ten are found; neither strangers nor unchanged copies are."""
+    rnd = random.Random(12)
+    verbs, things, names, units = ["opens", "closes", "drifts", "holds", "stops", "leaks", "warms", "cools"], ["valve", "pump", "gate", "filter", "sensor", "boiler", "meter", "cable"], ["Crafol", "Bentor", "Milvan", "Tarsil"], ["bar", "mm", "kg", "ms"]
+    pick = lambda k: [rnd.choice(verbs if i % 2 else things) for i in range(k)]
+    items, docs, want = [], [], set()
+    for i in range(120):
+        parts, name, unit = [" ".join(pick(6)) for _ in range(5)], rnd.choice(names), rnd.choice(units)
+        ask = lambda n, a, b, c: f"{parts[0]} {n} {a} {parts[1]} {b} {unit} {parts[2]} {n} {a} {parts[3]} {c} {parts[4]}"  # noqa: E731,B023
+        items.append((i, ask(name, 11, 22, 33)))
+        docs.append((i, " ".join(pick(20)) + " " + ask(rnd.choice(names), 70 + i % 9, 81, 94) + " " + " ".join(pick(20))))
+        docs.append((1000 + i, " ".join(pick(60))))
+        docs.append((2000 + i, ask(name, 11, 22, 33)))
+        want.add((i, i))
+    found = {(r.item_id, r.doc_id) for r in reparameterised(spark.createDataFrame([(*r, "", "") for r in items], ITEMS), spark.createDataFrame([(*r, "", "") for r in docs], DOCS)).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+    assert not {d for _, d in found if 1000 <= d < 2000} and not {(i, d) for i, d in found if d == 2000 + i}
+
+
+def test_only_typical_words_are_names_and_units(spark):
+    texts = ["The Crafol 12 runs at 40 bar between 2 and 5 mm", "Take between one and two, and Crafol 13 at 7 bar", "salt and water and sand", "Between 3 and 4 mm"]
+    got = vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert "crafol" in got.names and {"bar", "mm"} <= got.units and "and" not in got.units and "between" not in got.names
+
+
+def test_slots_stay_change_or_mix():
+    assert consistent("a12b12", "a12b12") == "same" and consistent("a12b12", "a34b34") == "changed" and consistent("a12b12", "a34b35") == "mixed" and consistent("a12b13", "a34b34") == "mixed"

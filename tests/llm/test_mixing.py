@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.llm.mixing import allocate, choose, fill, reached, source_sizes
+from docloom.llm.mixing import allocate, choose, fill, reached, source_sizes, water
 from docloom.llm.tokens import with_token_count
 
 SIZED = "doc_id bigint, source string, n_tokens bigint, whole string, rest string"
@@ -44,3 +44,8 @@ def test_empty_and_token_counts(spark):
     assert choose(none, plan).count() == 0 and plan.collect()[0].allocated == 0
     got = {r.k: r.n_tokens for r in with_token_count(spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "k int, text string"), "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_rounds_tell_own_targets_from_what_others_leave():
+    given, rounds = water({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 35, "c": 500}, 100)
+    assert rounds == {"a": 0, "b": 1} and given == {"a": 10, "b": 35, "c": 55}

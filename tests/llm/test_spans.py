@@ -85,6 +85,10 @@ def test_pairs_and_shared_parts(spark):
                 if len(where[t[p : p + 300]]) > 1:
                     cover |= set(range(p, p + 300))
             assert cover == {i for a, z in parts.get(d, []) for i in range(a, z)}, d
+        left = {r.doc_id: r for r in S.cleaned(df, S.merged(S.shared_parts(found, m))).collect()}
+        for d, t in rows:
+            gone = {i for a, z in parts.get(d, []) for i in range(a, z)}
+            assert left[d].text == (None if t is None else "".join(c for i, c in enumerate(t) if i not in gone)) and left[d].n_removed == len(gone)
 
 
 def test_empty(spark):
