@@ -21,7 +21,9 @@ BULLETS = [
     [r"第[零一二三四五六七八九十百0-9]+章", r"第[零一二三四五六七八九十百0-9]+节", r"[零一二三四五六七八九十百]+[ 、]", r"[\(（][零一二三四五六七八九十百]+[\)）]", r"[\(（][0-9]{1,2}[\)）]"],
     [r"PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", r"Chapter (I+V?|VI*|XI|IX|X)", r"Section [0-9]+", r"Article [0-9]+"],
 ]
-NO_BULLET = r"^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})"
+#: Beginnings that look like a mark and are none.
+NO_BULLETS = [r"0", r"[0-9]+ +[0-9~个只-]", r"[0-9]+\.{2,}"]
+NO_BULLET = "^(" + "|".join(NO_BULLETS) + ")"
 MARKDOWN_HEADING = r"^(#{1,6}) "
 
 
@@ -104,22 +106,15 @@ def nearest_parents(rows: DataFrame, levels: int = 6) -> DataFrame:
     return out.withColumn("parents", F.filter(F.array(*kept), lambda x: x.isNotNull())).drop(*[f"_p{i}" for i in range(levels)])
 
 
-def heading_tree(rows: DataFrame) -> DataFrame:
-    """(doc_id, pos, text, body): each heading with all lines down to the next of its level or a higher one."""
-    heads = rows.where("level is not null").select("doc_id", F.col("pos").alias("h"), F.col("level").alias("l"), F.col("text").alias("title"))
-    ends = _ends(heads)
-    body = rows.select("doc_id", "pos", "text").join(ends, "doc_id").where((F.col("pos") > F.col("h")) & (F.col("_e").isNull() | (F.col("pos") < F.col("_e"))))
-    return body.groupBy("doc_id", F.col("h").alias("head"), "title").agg(_in_order(F.col("text"), F.col("pos")).alias("body"))
+def heading_tree(rows: DataFrame, levels: int = 6) -> DataFrame:
+    """(doc_id, head, title, body): each heading with all lines down to the next of its level or a higher one.
 
-
-def _ends(heads: DataFrame) -> DataFrame:
-    """Where a heading's reach ends: the next heading at its level or above, from one window per level."""
-    w = Window.partitionBy("doc_id").orderBy("h").rowsBetween(1, Window.unboundedFollowing)
-    ends = [F.when(F.col("l") >= i, F.min(F.when(F.col("l") <= i, F.col("h"))).over(w)) for i in range(max(len(f) for f in BULLETS))]
-    e = None
-    for i, x in enumerate(ends):
-        e = F.when(F.col("l") == i, x) if e is None else e.when(F.col("l") == i, x)
-    return heads.withColumn("_e", e)
+    A line belongs to its nearest headings above, one per level at most, so lines meet as many headings as there are levels.
+    Headings without a line below them are left out.
+    """
+    below = nearest_parents(rows, levels).select("doc_id", "pos", "text", F.explode("parents").alias("head"))
+    heads = rows.where("level is not null").select("doc_id", F.col("pos").alias("head"), F.col("text").alias("title"))
+    return below.join(heads, ["doc_id", "head"]).groupBy("doc_id", "head", "title").agg(_in_order(F.col("text"), F.col("pos")).alias("body"))
 
 
 def question_paths(rows: DataFrame) -> DataFrame:

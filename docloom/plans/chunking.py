@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions.lexical import delimiter_pattern
 from docloom.operators import chunking as C
 from docloom.operators import tabular as T
+from docloom.plans.lexical import TOKENS
 from docloom.runtime import table
 
 
@@ -38,11 +40,11 @@ def chunk_strict_regex(spark, sf_dir):
 
 
 def chunk_qa_pairs(spark, sf_dir):
-    return C.qa_pairs(C.lines(_docs(spark, sf_dir).where("source = 'mail'")), ": ").select("doc_id", F.col("group").cast("bigint").alias("pair_no"), "question", F.md5("answer").alias("answer_md5"))
+    return C.qa_pairs(C.lines(_docs(spark, sf_dir)), ": ").select("doc_id", F.col("group").cast("bigint").alias("pair_no"), "question", F.md5("answer").alias("answer_md5"))
 
 
 def chunk_question_paths(spark, sf_dir):
-    return C.question_paths(C.lines(_docs(spark, sf_dir).where("source = 'wiki'"))).select("doc_id", "question", F.md5("answer").alias("answer_md5"))
+    return C.question_paths(C.lines(_docs(spark, sf_dir))).select("doc_id", "question", F.md5("answer").alias("answer_md5"))
 
 
 def bullet_family_vote(spark, sf_dir):
@@ -59,18 +61,20 @@ def chunk_section_pivot(spark, sf_dir):
 
 
 def nearest_parent_level(spark, sf_dir):
-    rows = C.nearest_parents(C.with_levels(C.lines(_docs(spark, sf_dir).where("source = 'manuals'")), 1))
+    rows = C.nearest_parents(C.with_levels(C.lines(_docs(spark, sf_dir)), 1))
     return rows.where("level is not null").select("doc_id", "pos", "level", F.array_join("parents", ",").alias("parents"))
 
 
 def heading_tree_bodies(spark, sf_dir):
-    rows = C.with_levels(C.lines(_docs(spark, sf_dir).where("source = 'manuals'")), 1)
+    rows = C.with_levels(C.lines(_docs(spark, sf_dir)), 1)
     return C.heading_tree(rows).select("doc_id", "head", F.md5("body").alias("body_md5"))
 
 
 def contents_removed(spark, sf_dir):
-    rows = C.lines(_docs(spark, sf_dir).where("source = 'papers'").select("doc_id", F.concat(F.lit("Contents\nAbstract. 1\n2 Methods\n"), "text").alias("text")))
-    return C.without_contents(rows).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    """Each document behind a table of contents made of its own first word and the last one."""
+    listed = F.concat(F.lit("Contents\n"), F.substring(F.split(F.col("text"), "\n")[0], 1, 12), F.lit(" 1\nAppendix 9\n"), F.col("text"))
+    rows = C.lines(_docs(spark, sf_dir).select("doc_id", listed.alias("text")))
+    return C.without_contents(rows).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min("pos").alias("first"))
 
 
 def page_range_tasks(spark, sf_dir):
@@ -140,10 +144,57 @@ def _level(family: int) -> str:
     return "case " + " ".join(f"when regexp_matches(trim(text), '^(?:{p})') and not regexp_matches(trim(text), '{C.NO_BULLET}') then {i}" for i, p in enumerate(C.BULLETS[family])) + " end"
 
 
+_MD = r"regexp_matches(text, '^(#{1,6}) ')"
+_OVER = "over (partition by doc_id order by pos rows unbounded preceding)"
+
+
+def _nearest(levels: int = 6, upto: str = "1 preceding") -> str:
+    """v (with level) -> par: the nearest heading of each level above a row, those behind a higher one left out."""
+    last = ", ".join(f"max(case when level = {i} then pos end) over (partition by doc_id order by pos rows between unbounded preceding and {upto}) as p{i}" for i in range(levels))
+    kept = ", ".join(f"case when coalesce(level, {levels}) > {i} and p{i} > greatest(-1{''.join(f', coalesce(p{k}, -1)' for k in range(i))}) then p{i} end" for i in range(levels))
+    return f"np as (select *, {last} from v), par as (select doc_id, pos, text, level, list_filter([{kept}], lambda x: x is not null) as parents from np)"
+
+
+_WORDS = r"len(regexp_extract_all({}, '\S+'))"
+
+
+def _folded(pieces: str, opens: str, tail: str = "''", joint: str = "chr(10)") -> str:
+    """pieces pc (doc_id, i, t, n), i from 1 -> fd (doc_id, k, t): a fold that opens a new chunk where ``opens`` holds of a (chunk, size) and the piece."""
+    return (
+        f"{pieces}, fo as (select doc_id, i, 0 as k, t, n from pc where i = 1 union all select pc.doc_id, pc.i, case when {opens} then fo.k + 1 else fo.k end, "
+        f"case when {opens} then {tail} || pc.t else fo.t || {joint} || pc.t end, case when {opens} then {_WORDS.format(f'{tail} || pc.t')} else fo.n + pc.n end from fo join pc on pc.doc_id = fo.doc_id and pc.i = fo.i + 1), "
+        "fd as (select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_no, t from (select doc_id, k, arg_max(t, i) as t from fo group by 1, 2) where trim(t, ' ' || chr(10) || chr(9)) <> '')"
+    )
+
+
+def _pieces(budget: int, delimiters: str) -> str:
+    """Lines that are not blank, those at or above the budget cut at the delimiters."""
+    cut = f"case when {_WORDS.format('text')} >= {budget} then regexp_split_to_array(text, '{delimiter_pattern(delimiters)}') else [text] end" if delimiters else "[text]"
+    return (
+        f"{_lines()}, cu as (select doc_id, pos, {cut} as a from l where trim(text, ' ' || chr(9) || chr(13)) <> ''), "
+        "un as (select doc_id, pos, unnest(range(len(a))) as j, unnest(a) as t from cu), "
+        f"pc as (select doc_id, row_number() over (partition by doc_id order by pos, j) as i, t, {_WORDS.format('t')} as n from un where trim(t, ' ' || chr(9) || chr(13)) <> '')"
+    )
+
+
 _PG = "d as (select document_id as doc_id, chunk_num as pages, parser_config from (select *, row_number() over (partition by document_id order by kb_id) as rn from kb_document) where rn = 1 and chunk_num > 0), t as (select doc_id, from_page, least(from_page + 12, pages)::int as to_page, md5(concat_ws('|', parser_config, doc_id, from_page, least(from_page + 12, pages))) as digest from (select *, unnest(range(0, pages, 12))::int as from_page from d))"
 SQL = {
+    "chunk_naive_merge": f"with recursive {_folded(_pieces(64, chr(10) + '。；！？'), 'fo.n > 64')} select doc_id, chunk_no, md5(t) as text_md5 from fd",
+    "chunk_overlap": f"with recursive {_folded(_pieces(64, chr(10) + '。；！？'), 'fo.n > 64 * 0.8', 'substr(fo.t, floor(length(fo.t) * 0.8)::int + 1)')} select doc_id, chunk_no, length(t)::int as n_chars from fd",
+    "chunk_txt_merge": f"with recursive {_folded(_pieces(64, ''), 'fo.n > 64')} select doc_id, chunk_no, md5(t) as text_md5 from fd",
+    "chunk_question_paths": f"""with {_lines()}, fe as (select *, sum(starts_with(text, '```')::int) {_OVER} as f from l),
+      v as (select doc_id, pos, text, case when f % 2 = 0 and {_MD} then length(regexp_extract(text, '^(#{{1,6}}) ', 1)) - 1 end as level from fe),
+      g as (select *, sum((level is not null)::int) {_OVER} as g, {', '.join(f"max(case when level = {i} then pos end) {_OVER} as p{i}" for i in range(6))} from v),
+      h as (select doc_id, g, pos, text, list_filter([{', '.join(f"case when p{i} > greatest(-1{''.join(f', coalesce(p{k}, -1)' for k in range(i))}) then p{i} end" for i in range(6))}], lambda x: x is not null) as path from g where level is null),
+      a as (select doc_id, g, any_value(path) as path, {_GT} as answer from h group by 1, 2),
+      q as (select a.doc_id, a.g, string_agg(regexp_replace(v.text, '^(#{{1,6}}) ', ''), chr(10) order by v.pos) as question from (select doc_id, g, unnest(path) as p from a) a join v on v.doc_id = a.doc_id and v.pos = a.p group by 1, 2)
+      select doc_id, question, md5(answer) as answer_md5 from a join q using (doc_id, g) where trim(answer) <> '' and question <> ''""",
+    "nearest_parent_level": f"with {_lines()}, v as (select *, {_level(1)} as level from l), {_nearest()} select doc_id, pos::int as pos, level, array_to_string(parents, ',') as parents from par where level is not null",
+    "heading_tree_bodies": f"with {_lines()}, v as (select *, {_level(1)} as level from l), hd as (select doc_id, pos as head, level from v where level is not null), en as (select a.doc_id, a.head, min(b.head) as stop from hd a left join hd b on a.doc_id = b.doc_id and b.head > a.head and b.level <= a.level group by 1, 2), bo as (select en.doc_id, en.head, string_agg(v.text, chr(10) order by v.pos) as body from en join v on v.doc_id = en.doc_id and v.pos > en.head and (stop is null or v.pos < stop) group by 1, 2) select doc_id, head::int as head, md5(body) as body_md5 from bo",
+    "contents_removed": "with d as (select doc_id, string_split(text, chr(10)) as a from documents where text is not null), f as (select doc_id, a, trim(substr(a[1], 1, 12)) as t from d), x as (select doc_id, ['Contents', substr(a[1], 1, 12) || ' 1', 'Appendix 9'] || a as a from d), l as (select doc_id, unnest(range(0, len(a))) as pos, unnest(a) as text from x), fi as (select doc_id, min(pos) as first, substr(trim(arg_min(text, pos)), 1, 8) as prefix from l where pos > 0 and trim(text) <> '' group by 1), ag as (select l.doc_id, min(pos) as again from l join fi using (doc_id) where pos > first and pos <= first + 128 and starts_with(trim(text), prefix) group by 1) select l.doc_id, count(*) as n_lines, min(pos)::int as first from l left join ag using (doc_id) where again is null or pos >= again group by 1",
+    "cell_block_types": "with b as (select unnest(regexp_extract_all(text, '<td>(.*?)</td>', 1)) as c from content_list where block_type = 'table' and text is not null), t as (select trim(c) as text from b), k as (select text, len(list_filter({_TOK}, lambda w: length(w) > 1)) as n from t) select case {_CASES} when n >= 12 then 'Lx' when n > 3 then 'Tx' else 'Ot' end as kind, count(*) as n from k group by 1".replace("{_TOK}", TOKENS).replace("{_CASES}", " ".join(f"when regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') then '{k}'" for p, k in T.CELL_CLASSES)),
     "chunk_strict_regex": f"with {_lines()}, g as (select *, sum(regexp_matches(text, '^\\s*(?:(?:[0-9]+\\.[0-9]+ |#+ |Art\\. ))')::int) over (partition by doc_id order by pos rows unbounded preceding) as g from l), c as (select doc_id, g::bigint as chunk_no, {_GT} as t from g group by 1, 2) select doc_id, chunk_no, md5(t) as text_md5 from c where trim(t) <> ''",
-    "chunk_qa_pairs": f"with {_lines(chr(115) + 'ource = ' + chr(39) + 'mail' + chr(39))}, p as (select *, string_split(text, ': ') as a from l), g as (select *, sum((len(a) = 2)::int) over (partition by doc_id order by pos rows unbounded preceding) as g from p) select doc_id, g::bigint as pair_no, max(case when len(a) = 2 then a[1] end) as question, md5(string_agg(case when len(a) = 2 then a[2] else text end, chr(10) order by pos)) as answer_md5 from g where g > 0 group by 1, 2",
+    "chunk_qa_pairs": f"with {_lines()}, p as (select *, string_split(text, ': ') as a from l), g as (select *, sum((len(a) = 2)::int) over (partition by doc_id order by pos rows unbounded preceding) as g from p) select doc_id, g::bigint as pair_no, max(case when len(a) = 2 then a[1] end) as question, md5(string_agg(case when len(a) = 2 then a[2] else text end, chr(10) order by pos)) as answer_md5 from g where g > 0 group by 1, 2",
     "bullet_family_vote": f"with {_lines()}, v as (select doc_id, " + ", ".join(f"sum((regexp_matches(trim(text), '^(?:{'|'.join(f)})') and not regexp_matches(trim(text), '{C.NO_BULLET}'))::int) as n{i}" for i, f in enumerate(C.BULLETS)) + " from l group by 1) select doc_id, case when greatest(n0, n1, n2, n3) = 0 then -1 when n0 = greatest(n0, n1, n2, n3) then 0 when n1 = greatest(n0, n1, n2, n3) then 1 when n2 = greatest(n0, n1, n2, n3) then 2 else 3 end as family, greatest(n0, n1, n2, n3)::bigint as n from v",
     "title_frequency": f"with {_lines()}, v as (select doc_id, {_level(1)} as level from l) select doc_id, level from (select doc_id, level, row_number() over (partition by doc_id order by count(*) desc, level) as rn from v where level is not null group by 1, 2) where rn = 1",
     "chunk_section_pivot": f"with {_lines()}, v as (select *, {_level(1)} as level from l), o as (select *, coalesce(level <= 3 and lag(level) over (partition by doc_id order by pos) is distinct from level, false)::int as o from v), g as (select *, sum(o) over (partition by doc_id order by pos rows unbounded preceding) as g from o) select doc_id, g::bigint as section, md5({_GT}) as text_md5 from g group by 1, 2",

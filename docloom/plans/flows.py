@@ -94,7 +94,7 @@ def udtf_split(spark, sf_dir):
     reg.add("words_of", Words, "udtf")
     reg.register(spark)
     table(spark, sf_dir, "eval_items").createOrReplaceTempView("_items")
-    return spark.sql("select item_id, w.pos, w.word from _items, lateral words_of(text) w where w.pos < 3")
+    return spark.sql("select item_id, w.pos, w.word from _items, lateral words_of(text) w")
 
 
 def stream_progress_monotone(spark, sf_dir):
@@ -144,7 +144,7 @@ SQL = {
     "categorize_mentions": f"with n as (select {_CNT('pipeline')} as a, {_CNT('sensor')} as b, {_CNT('ticket')} as c from documents) select case when greatest(a, b, c) = 0 then 'other' when a = greatest(a, b, c) then 'pipeline' when b = greatest(a, b, c) then 'sensor' else 'ticket' end as category, count(*) as n from n group by 1",
     "udf_scalar": "select doc_id, length(regexp_replace(coalesce(text, ''), '[^aeiou]', '', 'g')) as n_vowels from documents",
     "udf_grouped_agg": "select o_orderstatus, round(max(o_totalprice) - min(o_totalprice), 4) as spread from orders group by 1",
-    "udtf_split": "select item_id, pos, word from (select item_id, unnest(range(0, len(a)))::int as pos, unnest(a) as word from (select item_id, string_split(text, ' ') as a from eval_items)) where pos < 3",
+    "udtf_split": "select item_id, pos, word from (select item_id, unnest(range(0, len(a)))::int as pos, unnest(a) as word from (select item_id, string_split(text, ' ') as a from eval_items))",
     "stream_progress_monotone": "select user_id, round(case when min(p) < 0 then -1.0 else max(p) end, 6) as progress from (select user_id, case event_type when 'error' then -1.0 else least(value / 100, 1.0) end as p from events) group by 1",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
     "stream_dedup_upsert": "select link_id, max(create_time) as create_time from file2document group by 1",

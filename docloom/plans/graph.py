@@ -157,9 +157,33 @@ def sql_script(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (graph_parse_records, graph_merge_nodes, graph_merge_edges, graph_degree_rank, graph_endpoint_semi, graph_pagerank_k, graph_connected_components, graph_largest_component, graph_leiden, community_overlap, entity_resolution_pairs, entity_resolution_merge, kg_top_view, kg_nhop_score, kg_walks, mindmap_labels, raptor_tree, tag_prior, tag_query_scores, tag_chunk_scores, text2sql_aggregate, text2sql_token_match, sql_script)}
 
-_LI = "li as (select distinct l_orderkey, l_partkey as p from lineitem where l_orderkey % 10 < 3), sz as (select l_orderkey from li group by 1 having count(*) between 2 and 12), e as (select a.p as src, b.p as dst, count(*)::double as weight from li a join li b on a.l_orderkey = b.l_orderkey and a.p < b.p where a.l_orderkey in (select l_orderkey from sz) group by 1, 2)"
+_LI = "li as (select distinct l_orderkey, l_partkey as p from lineitem), e as materialized (select a.p as src, b.p as dst, count(*)::double as weight from li a join li b on a.l_orderkey = b.l_orderkey and a.p < b.p group by 1, 2)"
 _B = "b as (select src, dst, weight from e union all select dst, src, weight from e)"
-_C7 = "e7 as (select * from e where (src + dst) % 7 = 0), b7 as (select src, dst from e7 union select dst, src from e7), r(node, reach) as (select src, src from b7 union select r.node, b7.dst from r join b7 on r.reach = b7.src), cc as (select node, min(reach) as component from r group by 1)"
+
+
+def _least_labels(edges: str, rounds: int = 10) -> str:
+    """cc (node, component): smallest node within ``rounds`` steps, doubled each round by the label's own label; far beyond any diameter here."""
+    out = f"c0 as materialized (select src as node, least(src, min(dst)) as component from {edges} group by 1)"
+    for i in range(1, rounds):
+        near = f"select c.node, least(any_value(c.component), min(x.component)) as component from c{i - 1} c join {edges} b on c.node = b.src join c{i - 1} x on b.dst = x.node group by 1"
+        out += f", n{i} as materialized ({near}), c{i} as materialized (select n.node, least(n.component, j.component) as component from n{i} n join n{i} j on n.component = j.node)"
+    return f"{out}, cc as (select * from c{rounds - 1})"
+
+
+def _spread_labels(edges: str, name: str, rounds: int = 4) -> str:
+    """{name}{rounds} (node, label): rounds of weighted label propagation, the own label counting half; ties to the smaller label."""
+    out = f"{name}0 as materialized (select distinct src as node, src as label from {edges})"
+    for i in range(1, rounds + 1):
+        votes = f"select b.src as node, l.label, b.weight as w from {edges} b join {name}{i - 1} l on b.dst = l.node union all select node, label, 0.5 from {name}{i - 1}"
+        out += f", {name}{i} as materialized (select node, label from (select node, label, row_number() over (partition by node order by round(sum(w), 6) desc, label) as rn from ({votes}) group by 1, 2) where rn = 1)"
+    return out
+
+
+_LEVELS = (
+    f"{_spread_labels('b', 'f')}, big as (select node, label from f4 where label in (select label from f4 group by 1 having count(*) > 12)), "
+    "inn as materialized (select src, dst, weight, x.label as a from b join big x on src = x.node join big y on dst = y.node where x.label = y.label), "
+    f"ib as materialized (select src, dst, weight from inn join (select a, avg(weight) as m from inn group by 1) using (a) where weight >= m), {_spread_labels('ib', 's')}"
+)
 _SIM = "not coalesce(list_bool_or(list_transform(list_concat(list_filter(x, lambda p: not list_contains(y, p)), list_filter(y, lambda p: not list_contains(x, p))), lambda p: regexp_matches(p, '[0-9]'))), false) and levenshtein(a, b) <= floor(least(length(a), length(b)) / 2)"
 _NP = "n as (select distinct upper(p_name) as name, p_type as type from part), q as (select name, type, list_distinct(list_transform(range(1, length(name)), lambda i: substr(name, i, 2))) as g from n), pr as (select distinct a, b from (select q1.name as a, q2.name as b, q1.g as x, q2.g as y from q q1 join q q2 on q1.type = q2.type and q1.name < q2.name) where " + _SIM + ")"
 _PR3 = "o as (select src, sum(weight) as o from b group by 1), p as (select b.src, b.dst, weight / o as p from b join o on b.src = o.src), nn as (select count(*) as n from o), r0 as (select src as node, 1.0 / n as rank from o, nn)" + "".join(
@@ -177,13 +201,16 @@ SQL = {
     "graph_pagerank_k": f"with {_LI}, {_B}, {_PR3} select node, round(rank, 9) as rank from r3",
     "entity_resolution_pairs": f"with {_NP} select a, b from pr",
     "kg_top_view": f"with {_LI}, {_B}, k as (select src as node from b group by 1 order by sum(weight) desc, src limit 256) select src, dst, weight from e where src in (select node from k) and dst in (select node from k) order by weight desc, src, dst limit 128",
-    "kg_nhop_score": f"with {_LI}, {_B}, s as (select distinct src as name from e where src % 200 = 0), p1 as (select name, [name, dst] as path from s join b on b.src = name), p2 as (select name, list_append(path, dst) as path from p1 join b on b.src = path[-1] where not list_contains(path, dst)), h as (select name, 0 as i, path[1] as a, path[2] as b from p1 union all select name, 0, path[1], path[2] from p2 union all select name, 1, path[2], path[3] from p2) select least(a, b) as src, greatest(a, b) as dst, round(sum((1.0 / (1 + name)) / (2 + i)), 9) as score from h group by 1, 2",
+    "kg_nhop_score": f"with {_LI}, {_B}, p1 as (select src as name, dst as m from b), p2 as (select name, m, dst as z from p1 join b on b.src = m where dst <> name), h as (select name, m, 1 + k as n from p1 join (select src, count(*) - 1 as k from b group by 1) d on d.src = m), f as (select least(name, m) as src, greatest(name, m) as dst, n / (1.0 + name) / 2 as s from h union all select least(m, z), greatest(m, z), 1 / (1.0 + name) / 3 from p2) select src, dst, round(sum(s), 9) as score from f group by 1, 2",
     "mindmap_labels": "select p_partkey, case when n > 1 then p_name || '(' || n || ')' else p_name end as label from (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as n from part)",
     "tag_prior": f"with {_TG} select tag, round((n + 1) / ((select sum(n) from t1) + 1000), 9) as prior from t1",
     "tag_query_scores": f"with {_T}, {_IX}, {_TSIM}, {_TG}, m as (select query_id, tag from sim join tg using (doc_id) where n_hits >= greatest(1, floor(n_terms * 0.3)) and tag is not null), c as (select query_id, tag, count(*) as c from m group by 1, 2), k as (select query_id, sum(c) as cnt from c group by 1), x as (select query_id, tag, 0.1 * (c + 1) / (cnt + 1) / greatest(1e-6, (n + 1) / ((select sum(n) from t1) + 1)) as raw from c join k using (query_id) join t1 using (tag)) select query_id, replace(tag, '.', '_') as tag, greatest(1, round_even(raw, 0))::bigint as score from (select *, row_number() over (partition by query_id order by round(raw, 9) desc, tag) as rn from x) where rn <= 3",
     "tag_chunk_scores": "with r as (select lower(trim(source)) || '/' || lower(trim(lang)) as kind, kb_id as tag from documents where source is not null and lang is not null and kb_id is not null), t1 as (select tag, count(*) as n from r group by 1), c as (select kind, tag, count(*) as c from r group by 1, 2), k as (select kind, sum(c) as cnt from c group by 1), x as (select kind, tag, 0.1 * (c + 1) / (cnt + 1) / greatest(1e-6, (n + 1) / ((select sum(n) from t1) + 1)) as raw from c join k using (kind) join t1 using (tag)) select kind, replace(tag, '.', '_') as tag, round_even(raw, 0)::bigint as score from (select *, row_number() over (partition by kind order by round(raw, 9) desc, tag) as rn from x) where rn <= 3 and round_even(raw, 0) > 0",
-    "graph_connected_components": f"with recursive {_LI}, {_C7} select component, count(*) as size from cc group by 1",
-    "graph_largest_component": f"with recursive {_LI}, {_C7} select count(*) as n_edges from e7 where src in (select node from cc where component = (select component from cc group by 1 order by count(*) desc, component limit 1))",
+    "graph_connected_components": f"with {_LI}, {_B}, {_least_labels('b')} select component, count(*) as size from cc group by 1",
+    "graph_largest_component": f"with {_LI}, {_B}, {_least_labels('b')} select count(*) as n_edges from e where src in (select node from cc where component = (select component from cc group by 1 order by count(*) desc, component limit 1))",
+    "graph_leiden": f"with {_LI}, {_B}, {_LEVELS} select f4.node, f4.label as level0, coalesce(s4.label, f4.label) as level1 from f4 left join s4 on f4.node = s4.node",
+    "community_overlap": f"with {_LI}, {_B}, {_spread_labels('b', 'f')}, r as (select src as node, sum(weight) as rank from b group by 1), w as (select label as community, sum(rank) as w, count(*) as size from f4 join r using (node) group by 1 having count(*) >= 2) select community, round(w / (select max(w) from w), 6) as weight, size from w",
+    "entity_resolution_merge": f"with {_NP}, bp as (select a as src, b as dst from pr union all select b, a from pr), {_least_labels('bp')}, nm as (select distinct upper(p_name) as name, p_type as type from part), pt as (select p_partkey, upper(p_name) as name from part), lo as (select distinct l_orderkey as o, name from lineitem join pt on l_partkey = p_partkey), ee as (select a.name as a, b.name as b, count(*)::double as w from lo a join lo b on a.o = b.o and a.name < b.name group by 1, 2), to_ as (select node, component from cc), me as (select least(coalesce(x.component, a), coalesce(y.component, b)) as src, greatest(coalesce(x.component, a), coalesce(y.component, b)) as dst, sum(w) as w from ee left join to_ x on a = x.node left join to_ y on b = y.node where coalesce(x.component, a) <> coalesce(y.component, b) group by 1, 2), dg as (select name, count(*) as degree, sum(w) as strength from (select src as name, w from me union all select dst, w from me) group by 1) select coalesce(component, nm.name) as name, count(*) as n, coalesce(any_value(degree), 0) as degree, coalesce(any_value(strength), 0.0) as strength from nm left join to_ on nm.name = node left join dg on dg.name = coalesce(component, nm.name) group by 1",
     "text2sql_aggregate": "select p_brand as brand_kwd, count(*) as n, round(avg(p_retailprice), 4) as price from part group by 1",
     "text2sql_token_match": "select p_partkey as doc_id, p_size as size_long from part where (contains(' ' || lower(p_name) || ' ', ' red ') or contains(' ' || lower(p_name) || ' ', ' widget ')) and p_size > 10",
     "sql_script": "select '{\"o_orderstatus\":\"' || o_orderstatus || '\",\"n\":' || count(*) || '}' as json from orders group by o_orderstatus",

@@ -25,7 +25,7 @@ def fullwidth_halfwidth(spark, sf_dir):
 
 def split_by_script(spark, sf_dir):
     runs = L.script_runs("text")
-    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), F.array_join(F.slice(runs, 1, 3), "|").alias("first_runs"))
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), F.md5(F.array_join(runs, "|")).alias("runs_md5"))
 
 
 def lang_ratio_english(spark, sf_dir):
@@ -41,7 +41,7 @@ def question_mode(spark, sf_dir):
 
 
 def stopphrase_strip(spark, sf_dir):
-    return table(spark, sf_dir, "eval_items").select("item_id", F.array_join(F.filter(L.tokens("text"), lambda w: ~w.isin(L.STOP)), " ").alias("kept"))
+    return table(spark, sf_dir, "eval_items").select("item_id", L.without_stop_phrases("text").alias("kept"))
 
 
 def space_eng_zh(spark, sf_dir):
@@ -82,12 +82,12 @@ def between_tags(spark, sf_dir):
 
 
 def numeral_parse(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("doc_id", F.explode(L.tokens("text")).alias("w")).where("length(w) <= 5")
+    words = _docs(spark, sf_dir).select("doc_id", F.explode(L.tokens("text")).alias("w"))
     return words.select("doc_id", L.numeral("w").alias("v")).where("v > 0").groupBy("doc_id").agg(F.sum("v").cast("bigint").alias("total"), F.count("*").alias("n"))
 
 
 def qa_prefix_strip(spark, sf_dir):
-    return _docs(spark, sf_dir, "source").where("lower(trim(source)) = 'qa' and text is not null").select("doc_id", F.md5(L.without_qa_prefix("text")).alias("body_md5"))
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.md5(L.without_qa_prefix("text")).alias("body_md5"))
 
 
 def position_tags_strip(spark, sf_dir):
@@ -123,17 +123,16 @@ QUERIES = {f.__name__: f for f in (tokenize_normalize, fullwidth_halfwidth, spli
 
 _HALF = f"translate(text, '{L.FULL}', '{L.HALF.replace(chr(39), chr(39) * 2)}')"
 TOKENS = rf"list_filter(string_split(trim(regexp_replace(lower({_HALF}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '')"
-_STOP = ", ".join(f"'{w}'" for w in L.STOP)
 _NUM = "case " + "when regexp_matches(w, '^[0-9]{1,9}$') then w::int " + " ".join(f"when w = '{k}' then {v}" for k, v in {**L.NUMERALS, **L.ROMAN}.items()) + " else -1 end"
 _Q = "chr(39)"
 SQL = {
     "tokenize_normalize": f"select doc_id, len(t)::bigint as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5 from (select doc_id, coalesce({TOKENS}, []) as t from documents)",
     "fullwidth_halfwidth": f"select doc_id, md5({_HALF}) as half_md5, {_HALF} <> text as changed from documents where text is not null",
-    "split_by_script": "select doc_id, len(r)::bigint as n_runs, array_to_string(r[1:3], '|') as first_runs from (select doc_id, regexp_extract_all(text, '[一-龥]+|[^一-龥 ]+') as r from documents where text is not null)",
+    "split_by_script": "select doc_id, len(r)::bigint as n_runs, md5(array_to_string(r, '|')) as runs_md5 from (select doc_id, regexp_extract_all(text, '[一-龥]+|[^一-龥 ]+') as r from documents where text is not null)",
     "lang_ratio_english": "select doc_id, round(s, 6) as share, s > 0.8 as english from (select doc_id, length(regexp_replace(text, '[^`a-zA-Z0-9\\s.,'':;/\"?<>!()-]', '', 'g')) / length(text) as s from documents where text is not null and text <> '')",
     "lang_ratio_chinese": "select doc_id, coalesce(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / nullif(length(text), 0) > 0.2, false) as chinese from documents",
     "question_mode": "select item_id, len(w) <= 3 or len(list_filter(w, lambda x: not regexp_matches(x, '^[a-zA-Z]+$'))) / len(w) >= 0.7 as chinese_mode from (select item_id, regexp_split_to_array(trim(text), '[ \t]+') as w from eval_items)",
-    "stopphrase_strip": f"select item_id, array_to_string(list_filter({TOKENS}, lambda w: w not in ({_STOP})), ' ') as kept from eval_items",
+    "stopphrase_strip": f"select item_id, case when r = '' then text else r end as kept from (select item_id, text, trim(regexp_replace(regexp_replace(text, '(?i)(^|[^a-z])(?:{'|'.join(L.STOP)})(?:[^a-z](?:{'|'.join(L.STOP)}))*($|[^a-z])', '\\1\\2', 'g'), ' +', ' ', 'g')) as r from eval_items)",
     "space_eng_zh": "select doc_id, md5(regexp_replace(regexp_replace(text, '([A-Za-z0-9])([一-龥])', '\\1 \\2', 'g'), '([一-龥])([A-Za-z0-9])', '\\1 \\2', 'g')) as spaced_md5 from documents where text is not null",
     "join_han_spaces": "with s as (select doc_id, regexp_replace(regexp_replace(text, '([A-Za-z0-9])([一-龥])', '\\1 \\2', 'g'), '([一-龥])([A-Za-z0-9])', '\\1 \\2', 'g') as t from documents where text is not null) select doc_id, md5(regexp_replace(regexp_replace(t, '([^a-z0-9.,)>]) +([^ ])', '\\1\\2', 'g'), '([^ ]) +([^a-z0-9.,(<])', '\\1\\2', 'g')) as joined_md5 from s",
     "query_escape": "select item_id, trim(regexp_replace(text, '([:\\\\{}()\\[\\]\\-*\"~^|+!/])', '\\\\\\1', 'g')) as escaped from eval_items",
@@ -143,8 +142,8 @@ SQL = {
     "split_multi_marker": "select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n\n|\\. |; '), lambda p: trim(p)), lambda p: p <> ''))::bigint as n_parts from documents where text is not null",
     "float_test": "select item_id, sum(regexp_matches(w, '^\\s*[+-]?([0-9]*\\.[0-9]+|[0-9]+\\.?)\\s*$')::int)::bigint as n_floats from (select item_id, unnest(string_split(text, ' ')) as w from eval_items) group by 1",
     "between_tags": "select distinct block_id, array_to_string(regexp_extract_all(text, '(?s)<td>(.*?)</td>', 1), '|') as cells from content_list where block_type = 'table' and text is not null",
-    "numeral_parse": f"select doc_id, sum(v)::bigint as total, count(*) as n from (select doc_id, {_NUM} as v from (select doc_id, unnest({TOKENS}) as w from documents) where length(w) <= 5) where v > 0 group by 1",
-    "qa_prefix_strip": "select doc_id, md5(trim(regexp_replace(text, '(?i)^(?:问题|答案|回答|问|答|question|answer|user|assistant|q|a)[\t:： ]+', ''))) as body_md5 from documents where lower(trim(source)) = 'qa' and text is not null",
+    "numeral_parse": f"select doc_id, sum(v)::bigint as total, count(*) as n from (select doc_id, {_NUM} as v from (select doc_id, unnest({TOKENS}) as w from documents)) where v > 0 group by 1",
+    "qa_prefix_strip": "select doc_id, md5(trim(regexp_replace(text, '(?i)^(?:问题|答案|回答|问|答|question|answer|user|assistant|q|a)[\t:： ]+', ''))) as body_md5 from documents where text is not null",
     "position_tags_strip": "select doc_id, true as restored from documents where text is not null",
     "column_names": "select p_partkey, lower(trim(regexp_replace(trim(regexp_replace(p_name || '/alias (a,b)', '(/.*|（[^（）]+?）|\\([^()]+?\\))', '', 'g')), '[^\\p{L}\\p{N}]+', '_', 'g'))) as column_name from part",
     "bool_date_normalize": "select o_orderkey, case o_orderstatus when 'F' then 'yes' when 'O' then 'no' end as flag, strftime(date_trunc('day', o_orderdate), '%Y-%m-%d %H:%M:%S') as day from orders",

@@ -191,7 +191,7 @@ def unique_name_suffix(spark, sf_dir):
 
 def parser_config_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "kb_document").dropDuplicates(["document_id"])
-    m = M.merged_config(F.col("parser_config"), F.lit('{"layout_recognize": "DeepDOC", "lang": "en"}'))
+    m = M.merged_config(F.col("parser_config"), F.lit('{"layout_recognize": "by_layout", "lang": "en"}'))
     return docs.select("document_id", m["layout_recognize"].alias("layout"), m["lang"].alias("lang"), m["pages"].alias("pages"))
 
 
@@ -318,7 +318,7 @@ SQL = {
     "scalar_subquery_counts": "select n_name, (select r_name from region where r_regionkey = n_regionkey) as r_name, (select count(*) from customer where c_nationkey = n_nationkey) as members from nation",
     "effective_row_filter": f"with {_PERM} select doc_id from documents where doc_id % 4 in (select substr(resource_id, 3, 1)::bigint from g where permission = 'write' and resource_id is not null)",
     "unique_name_suffix": f"with {_FILE}, n as (select file_id, file_name, row_number() over (partition by tenant_id, file_name order by file_id) - 1 as k from f) select file_id, case when k > 0 then regexp_replace(file_name, '\\.[^.]+$', '') || '(' || k || ')' || regexp_extract(file_name, '(\\.[^.]+)$', 1) else file_name end as file_name from n",
-    "parser_config_merge": f"with {_DOC} select document_id, 'DeepDOC' as layout, 'en' as lang, replace(json_extract(parser_config, '$.pages')::varchar, ' ', '') as pages from d",
+    "parser_config_merge": f"with {_DOC} select document_id, 'by_layout' as layout, 'en' as lang, replace(json_extract(parser_config, '$.pages')::varchar, ' ', '') as pages from d",
     "upsert_last_write": "select coalesce(available_int, -1) as available, count(*) as n from (select id, available_int, row_number() over (partition by id order by ingested_at desc, coalesce(available_int = 1, false)::int) as rn from (select distinct id, available_int, ingested_at from chunk_app)) where rn = 1 group by 1",
     "delete_by_predicate": "select source, count(*) as n from documents where doc_id not in (1, 2, 3) and not coalesce(lower(trim(source)) = 'mail', false) group by 1",
     "update_array_element": "with a as (select doc_id, [coalesce(trim(lang), 'none'), coalesce(suffix, 'none')] as t from documents), b as (select doc_id, case when doc_id % 2 = 0 then list_append(t, 'even') else t end as t from a) select doc_id, array_to_string(case when doc_id % 3 = 0 then list_filter(t, lambda x: x <> 'pdf') else t end, ',') as tags from b",

@@ -255,13 +255,13 @@ _Q = "q as (select vec_id as query_id, embedding::double[] as qe, label as query
 _S = "p as (select query_id, vec_id, round(list_cosine_similarity(qe, e), 9) as similarity, label, query_label from q, v)"
 _R = "r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from p)"
 _HY = f"""with {_Q}, {_S}, {_R}, near as (select query_id, vec_id as doc_id, similarity as cosine from r where rank <= 40),
-    {_IX}, t as ({_terms_sql('(select doc_id, substr(text, 1, 120) as text from documents where doc_id % 50 = 0)', 'doc_id', 'text')}), {_SIM},
+    {_IX}, t as ({_terms_sql('(select doc_id, text from documents where doc_id % 50 = 0)', 'doc_id', 'text')}), {_SIM},
     x as (select query_id, doc_id, similarity as tokensim from sim where similarity >= 0.3),
     j as (select coalesce(near.query_id, x.query_id) as query_id, coalesce(near.doc_id, x.doc_id) as doc_id, cosine, tokensim from near full join x on near.query_id = x.query_id and near.doc_id = x.doc_id)"""
 _TOP10 = "select query_id, doc_id, score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10"
 SQL = {
     "token_similarity_topk": f"{_FLAG} select query_id, doc_id, similarity, rank from f where rank <= 30",
-    "term_weights": f"with {_T} select query_id, term, round(weight, 6) as weight from t",
+    "term_weights": f"with t as ({_terms_sql('eval_items', 'item_id', 'text')}) select query_id, term, round(weight, 6) as weight from t",
     "paragraph_query_topn": f"with t as ({_terms_sql('documents', 'doc_id', 'text')}) select query_id as doc_id, term, rank, least(3, floor(least(n_terms, 5) / 10))::bigint as min_match from (select *, row_number() over (partition by query_id order by round(weight, 9) desc, term) as rank from t) where rank <= 5",
     "postings_df": f"with {_IX} select term, count(*) as df, sum(tf)::bigint as tf from ix group by 1",
     "bm25_score": f"with {_T}, {_IX}, {_STAT}, s as (select query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) as score from t join df using (term) join ix using (term), st group by 1, 2) {_TOP20}",
@@ -290,7 +290,7 @@ SQL = {
     "citation_assign": f"""with d as (select * from documents where text is not null),
       s as (select doc_id, unnest(range(0, len(a))) as sentence_no, unnest(a) as text from (select doc_id, string_split(text, '. ') as a from d)),
       c as (select doc_id, unnest(range(0, len(a))) as chunk_id, unnest(a) as text from (select doc_id, string_split(text, chr(10) || chr(10)) as a from d)),
-      st as (select doc_id, sentence_no, list_distinct({TOKENS}) as t from s where length(text) >= 5 and sentence_no < 4), ct as (select doc_id, chunk_id, list_distinct({TOKENS}) as t from c),
+      st as (select doc_id, sentence_no, list_distinct({TOKENS}) as t from s where length(text) >= 5), ct as (select doc_id, chunk_id, list_distinct({TOKENS}) as t from c),
       se as (select doc_id, sentence_no, len(t) as n, unnest(t) as term from st), ce as (select doc_id, chunk_id, unnest(t) as term from ct),
       sim as (select doc_id, sentence_no, chunk_id, count(*) / any_value(n) as similarity from se join ce using (doc_id, term) group by 1, 2, 3),
       tp as (select doc_id, max(similarity) as top from sim group by 1),

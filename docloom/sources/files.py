@@ -92,43 +92,40 @@ def is_jsonl(text: Column | str, share: float = 0.8, look: int = 10) -> Column:
 
 
 def split_json(value, most: int = 2000, least: int | None = None) -> list:
-    """Nested JSON cut into objects of at most about ``most`` characters, keeping key paths; lists become index maps."""
-    least = max(most - 200, 50) if least is None else least
-
-    def indexed(v):
-        if isinstance(v, dict):
-            return {k: indexed(x) for k, x in v.items()}
-        if isinstance(v, list):
-            return {str(i): indexed(x) for i, x in enumerate(v)}
-        return v
-
-    size = lambda v: len(json.dumps(v, ensure_ascii=False))
-    chunks: list[dict] = [{}]
+    """Nested JSON dealt into objects of about ``most`` characters, keeping key paths and order; lists become index maps.
 
-    def put(path: list[str], v) -> None:
-        at = chunks[-1]
+    Sizes are reckoned once, from the leaves up. The largest parts that fit are the units; they fill objects in order, and an object is
+    closed by the first unit that does not fit once it has ``least`` characters.
+    """
+    least = max(most - 200, 50) if least is None else least
+    width = lambda v: len(json.dumps(v, ensure_ascii=False))
+
+    def sized(v) -> tuple:
+        """(size, value, children or None); children are (key, node)."""
+        pairs = list(v.items()) if isinstance(v, dict) else [(str(i), x) for i, x in enumerate(v)] if isinstance(v, list) else None
+        if not pairs:
+            return (2, {}, None) if pairs == [] else (width(v), v, None)
+        nodes = [(k, sized(x)) for k, x in pairs]
+        return 2 + sum(width(k) + 4 + n[0] for k, n in nodes), {k: n[1] for k, n in nodes}, nodes
+
+    units, todo = [], [((), sized(value))]
+    while todo:
+        path, (size, plain, nodes) = todo.pop()
+        if nodes and (size > most or not path):
+            todo.extend(((*path, k), n) for k, n in reversed(nodes))
+        elif path or nodes is None and plain != {}:
+            units.append((path or ("value",), plain, size + sum(width(k) + 4 for k in path)))
+    filled, out = 0, [{}]
+    for path, plain, size in units:
+        if filled + size > most and filled >= least:
+            out.append({})
+            filled = 0
+        at = out[-1]
         for k in path[:-1]:
             at = at.setdefault(k, {})
-        at[path[-1]] = v
-
-    def walk(v, path: list[str]) -> None:
-        if not isinstance(v, dict):
-            put(path or ["value"], v)
-            return
-        for k, x in v.items():
-            now, item = size(chunks[-1]), size({k: x})
-            if item < most - now:
-                put([*path, k], x)
-            else:
-                if now >= least:
-                    chunks.append({})
-                if isinstance(x, dict) and x and item > most:
-                    walk(x, [*path, k])
-                else:
-                    put([*path, k], x)
-
-    walk(indexed(value), [])
-    return [c for c in chunks if c]
+        at[path[-1]] = plain
+        filled += size
+    return [c for c in out if c]
 
 
 def mail_parts(raw: bytes) -> list[tuple[str, str]]:

@@ -1,4 +1,4 @@
-"""Queries over their whole input. The SQL here is the registered one without its filters; fixtures hold what the tables lack."""
+"""Queries over their whole input; fixtures hold what the tables lack."""
 
 import itertools
 import random
@@ -10,21 +10,6 @@ from docloom.operators import graph as G
 from docloom.operators import retrieval as R
 from docloom.operators import tabular as T
 
-GRAPH = ("graph_degree_rank", "graph_endpoint_semi", "graph_pagerank_k", "graph_connected_components", "graph_largest_component", "kg_top_view", "kg_nhop_score")
-
-
-def without(sql: str, *cuts: tuple[str, str]) -> str:
-    for cut, whole in cuts:
-        sql = sql.replace(cut, whole)
-    return sql
-
-
-@pytest.mark.parametrize("name", GRAPH)
-def test_graph_queries_take_all_edges(spark, duck, name):  # noqa: F811
-    sql = without(SQL[name], (" where l_orderkey % 10 < 3", ""), ("having count(*) between 2 and 12", ""), (" where (src + dst) % 7 = 0", ""), ("distinct src as name from e where src % 200 = 0", "distinct src as name from b"))
-    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
-
-
 @pytest.mark.parametrize("name", ("graph_leiden", "community_overlap", "kg_walks"))
 def test_graph_queries_without_sql_reach_all_nodes(spark, duck, name):  # noqa: F811
     nodes = {r[0] for r in duck.execute("select distinct a.l_partkey from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey <> b.l_partkey").fetchall()}
@@ -57,12 +42,6 @@ def test_two_hop_scores_equal_the_listed_paths(spark):
     assert len(want) > 9 and {(r.src, r.dst): round(r.score, 9) for r in G.two_hop_scores(starts, edges).collect()} == want
 
 
-@pytest.mark.parametrize("name", ("hybrid_fusion_weighted", "hybrid_rerank"))
-def test_hybrid_queries_take_whole_texts(spark, duck, name):  # noqa: F811
-    sql = without(SQL[name], ("substr(text, 1, 120) as text", "text"))
-    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
-
-
 def test_token_similarity_in_blocks_equals_the_join(spark):
     random.seed(8)
     word = lambda: f"w{min(random.randrange(60), random.randrange(60))}"
@@ -81,13 +60,6 @@ def test_token_similarity_in_blocks_equals_the_join(spark):
     assert {(r.query_id, r.doc_id): round(r.similarity, 7) for r in R.token_similarity_of(pairs, terms, index).collect() if r.similarity >= 0.3} == want
 
 
-def test_citations_take_all_sentences(spark, duck):  # noqa: F811
-    sql = without(SQL["citation_assign"], (" and sentence_no < 4", ""))
-    got = QUERIES["citation_assign"](spark, DATA).toPandas()
-    assert got.sentence_no.max() > 3
-    assert rows(got) == rows(duck.execute(sql).df())
-
-
 def greedy(boxes, most=0.2):
     """Brute force: boxes as (page, kind, id, x0, x1, top, bottom, score)."""
     kept: list = []
@@ -119,11 +91,6 @@ def test_box_non_max_takes_all_rows(spark, duck):  # noqa: F811
     assert sorted(QUERIES["box_non_max"](spark, DATA).toPandas().box_id) == greedy(boxes)
 
 
-def test_term_weights_of_all_items(spark, duck):  # noqa: F811
-    sql = without(SQL["term_weights"], (" where item_id % 50 = 0", ""))
-    assert rows(QUERIES["term_weights"](spark, DATA).toPandas()) == rows(duck.execute(sql).df())
-
-
 def test_resolution_pairs_are_complete(spark):
     random.seed(12)
     names = {"ABCD", "AXCX", "XBYD", "A", "AB", "数据平台", "数据台平", "平台数据库", "аб", "баа", "abé", "éba"}
