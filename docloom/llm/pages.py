@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import scanned as sc
@@ -129,7 +129,7 @@ def learn(clean: DataFrame, noisy: DataFrame):
     rows = kept.where("kind not in ('p', 'n')").unionByName(pairs).unionByName(odd).toPandas()
     of = lambda k: rows[rows.kind == k]
     han, grams = of("h"), of("g")
-    model = sc.Model(dict(zip(of("w").item, of("w").n.astype(int))), set(of("p").item), set(of("c").item), set(of("m").item), dict(zip(han.item, han.n.astype(int))), set(grams.item), dict(zip(of("n").item, of("n").n.astype(int))))
+    model = sc.Model(dict(zip(of("w").item, of("w").n.astype(int))), set(of("p").item), set(of("c").item), set(of("m").item), dict(zip(han.item, han.n.astype(int))), dict(zip(grams.item, grams.n.astype(int))), dict(zip(of("n").item, of("n").n.astype(int))))
     return clean.sparkSession.sparkContext.broadcast(model)
 
 
@@ -165,19 +165,24 @@ def judge(text: str | None, captions: list | None, furniture: set[int], model: s
     if body:
         if sc.broken_words(body, model):
             kinds.append("hyphen")
-        bad, fixed = sc.misread(sc.delined(body, model), model)
+        whole, fragment = sc.delined(body, model)
+        bad, fixed = sc.misread(whole, model)
+        if fragment:
+            fixed = (fixed + " " + fragment + BROKEN_OFF).lstrip()
         if bad:
             kinds.append("ocr")
     for c in captions or ():
         part = [x for x in (c or "").split("\n") if x.strip()]
-        if part and (sc.broken_words(part, model) or sc.misread(sc.delined(part, model), model)[0]):
+        if part and (sc.broken_words(part, model) or sc.misread(sc.delined(part, model)[0], model)[0]):
             kinds.append("caption")
             break
     return kinds, fixed
 
 
-#: Blocks that one task puts into paragraphs.
-SPAN = 512
+#: Stands at the end of a repaired block whose last word goes on in the next one.
+BROKEN_OFF = "\xad"
+#: Block numbers of a document that one task decides on, and how many to both sides it looks at.
+SPAN, HALO = 512, 128
 
 
 def paragraph_cost(left: str, right: str, right_level: bool, same_page: bool) -> tuple[float, float]:
@@ -192,19 +197,28 @@ def paragraph_cost(left: str, right: str, right_level: bool, same_page: bool) ->
 def boundaries(texts: list[str], levels: list[bool], pages: list[int], aim: int = 900) -> list[int]:
     """First block of each paragraph, by dynamic programming over all ways to put neighbours together.
 
-    A paragraph costs what its inner joins and its opening break cost, and more the longer it is than ``aim`` characters.
+    A paragraph costs what its inner joins and its opening break cost, and what it is longer than ``aim`` characters, over ``aim``. Up to ``aim``
+    all beginnings of the paragraph are looked at; beyond, a block adds the same whatever the beginning, so the best one is carried on.
     """
     n = len(texts)
     pairs = [(0.0, 0.0)] + [paragraph_cost(texts[i - 1], texts[i], levels[i] or levels[i - 1], pages[i] == pages[i - 1]) for i in range(1, n)]
     best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    long_: tuple[float, int] = (float("inf"), 0)  # cheapest paragraph of at least ``aim`` characters that ends here, and its beginning
     for j in range(1, n + 1):
+        long_ = (long_[0] + pairs[j - 1][0] + len(texts[j - 1]) / aim, long_[1])
         inner, length = 0.0, 0
-        for i in range(j - 1, max(-1, j - 25), -1):
+        for i in range(j - 1, -1, -1):
             length += len(texts[i])
+            if length - len(texts[j - 1]) >= aim:
+                break  # was as long before this block
             cost = best[i] + (pairs[i][1] if i else 0.0) + inner + max(0.0, length - aim) / aim
-            if cost < best[j]:
+            if length >= aim:
+                long_ = min(long_, (cost, i))
+            elif cost < best[j]:
                 best[j], back[j] = cost, i
             inner += pairs[i][0]
+        if long_[0] < best[j]:
+            best[j], back[j] = long_
     out, j = [], n
     while j:
         out.append(back[j])
@@ -212,28 +226,54 @@ def boundaries(texts: list[str], levels: list[bool], pages: list[int], aim: int
     return out[::-1]
 
 
+def joined(texts: list[str]) -> str:
+    """Repaired blocks of one paragraph as running text: a word that was broken off goes on without a blank, as ideographs do."""
+    out = ""
+    for t in texts:
+        if out.endswith(BROKEN_OFF):
+            out = out[:-1] + t
+        elif out and not ("一" <= out[-1] <= "鿿" and "一" <= t[:1] <= "鿿"):
+            out += " " + t
+        else:
+            out += t
+    return out.rstrip(BROKEN_OFF)
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """rows (document_id, block_no, block_id, page_idx, leveled, repaired) -> (document_id, span, paragraph_no, page_from, page_to, block_ids, text).
+    """rows (document_id, block_no, block_id, page_idx, leveled, repaired) -> (document_id, paragraph_no, page_from, page_to, block_ids, text).
 
-    Documents are worked on in spans of at most SPAN block numbers, so none is gathered as a whole; a span edge ends a paragraph.
+    Blocks without repaired text take no part. Documents are worked on in spans of SPAN block numbers, each seen with HALO numbers to both sides, so that none is
+    gathered as a whole and a span's edge is decided like any other place; where paragraphs begin is then counted through the document.
     """
-    grouped = rows.where("repaired is not null and repaired <> ''").groupBy("document_id", F.floor(F.coalesce("block_no", F.lit(0)) / SPAN).alias("span")).agg(
-        F.array_sort(F.collect_list(F.struct("block_no", "block_id", "page_idx", "leveled", "repaired"))).alias("blocks")
-    )
-    names = ["document_id", "span", "paragraph_no", "page_from", "page_to", "block_ids", "text"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+    some = rows.where("repaired is not null and repaired <> ''").withColumn("block_no", F.coalesce("block_no", F.lit(0)))
+    near = F.array_distinct(F.array(F.floor((F.col("block_no") - HALO) / SPAN), F.floor(F.col("block_no") / SPAN), F.floor((F.col("block_no") + HALO) / SPAN)))
+    seen = some.withColumn("span", F.explode(near)).withColumn("own", F.floor(F.col("block_no") / SPAN) == F.col("span"))
+    grouped = seen.groupBy("document_id", "span").agg(F.array_sort(F.collect_list(F.struct("block_no", "block_id", "page_idx", "leveled", "own", "repaired"))).alias("blocks"))
 
     def run(batches):
+        names = ["document_id", "span", "place", "opens", "block_id", "page_idx", "repaired"]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
         for b in batches:
             out = []
             for r in b.to_pylist():
                 bl = r["blocks"]
-                texts, pages = [x["repaired"] for x in bl], [x["page_idx"] if x["page_idx"] is not None else 0 for x in bl]
-                starts = boundaries(texts, [bool(x["leveled"]) for x in bl], pages)
-                for k, a in enumerate(starts):
-                    z = starts[k + 1] if k + 1 < len(starts) else len(bl)
-                    han = texts[a][-1:] and "一" <= texts[a][-1:] <= "鿿"
-                    out.append((r["document_id"], r["span"], k, pages[a], pages[z - 1], [x["block_id"] for x in bl[a:z]], ("" if han else " ").join(texts[a:z])))
+                if not any(x["own"] for x in bl):
+                    continue
+                pages = [x["page_idx"] if x["page_idx"] is not None else 0 for x in bl]
+                starts = set(boundaries([x["repaired"] for x in bl], [bool(x["leveled"]) for x in bl], pages))
+                out += [(r["document_id"], r["span"], i, int(i in starts), x["block_id"], pages[i], x["repaired"]) for i, x in enumerate(bl) if x["own"]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
-    return grouped.mapInArrow(run, "document_id string, span bigint, paragraph_no int, page_from int, page_to int, block_ids array<string>, text string")
+    decided = materialize(grouped.mapInArrow(run, "document_id string, span bigint, place int, opens int, block_id string, page_idx int, repaired string"))
+    per = decided.groupBy("document_id", "span").agg(F.sum("opens").alias("_o"))
+    ahead = per.select("document_id", "span", (F.sum("_o").over(Window.partitionBy("document_id").orderBy("span")) - F.col("_o")).alias("_before"))
+    inside = Window.partitionBy("document_id", "span").orderBy("place")
+    numbered = decided.withColumn("_in", F.sum("opens").over(inside)).join(ahead, ["document_id", "span"]).withColumn("paragraph_no", (F.greatest(F.col("_before") + F.col("_in"), F.lit(1)) - 1).cast("int"))
+    put = numbered.groupBy("document_id", "paragraph_no").agg(F.min("page_idx").alias("page_from"), F.max("page_idx").alias("page_to"), F.array_sort(F.collect_list(F.struct("span", "place", "block_id", "repaired"))).alias("_b"))
+
+    def write(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([joined(t) for t in b.column(5).to_pylist()], pa.string())], names=["document_id", "paragraph_no", "page_from", "page_to", "block_ids", "text"])
+
+    texts = put.select("document_id", "paragraph_no", "page_from", "page_to", F.transform("_b", lambda x: x["block_id"]).alias("block_ids"), F.transform("_b", lambda x: x["repaired"]).alias("_t"))
+    return texts.mapInArrow(write, "document_id string, paragraph_no int, page_from int, page_to int, block_ids array<string>, text string")

@@ -21,7 +21,7 @@ def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
         sample = rows.select("text").unionByName(rows.select(F.explode("image_caption").alias("text")))
     dirty = rows.join(small(noisy), "document_id", "left_semi")
     model = learn(sample, dirty.select("text"))
-    work = dirty.join(lines.select("block_id", "furniture"), "block_id", "left")
+    work = rows.join(lines.select("block_id", "furniture"), "block_id", "left")
     done = repaired(work, model)
     return materialize(work.select("block_id", "document_id", "block_no", "page_idx", F.col("text_level").isNotNull().alias("leveled"), "block_type").join(done, "block_id"))
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+
+import numpy as np
 
 #: Shapes that scanners confuse, as (seen, meant).
 CONFUSED = [
@@ -31,9 +32,10 @@ EXPECTED = 12.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüßáéíóúñàâçèêëîïôûùœ"
 
 
-def delined(lines: list[str], model: "Model") -> str:
-    """Lines put on one. A word broken by a hyphen is joined; other lines meet at a blank, those of mostly
-    ideographic text, which is cut anywhere, without one. A hyphen at the very end goes with its fragment."""
+def delined(lines: list[str], model: "Model") -> tuple[str, str]:
+    """(lines put on one, fragment). A word broken by a hyphen is joined; other lines meet at a blank, those of mostly
+    ideographic text, which is cut anywhere, without one. What a hyphen at the very end leaves of a word is the fragment."""
+    fragment = ""
     whole = "".join(lines)
     dense = len(HAN.findall(whole)) > 0.25 * max(1, len(whole))
     out = ""
@@ -43,6 +45,7 @@ def delined(lines: list[str], model: "Model") -> str:
         m = BROKEN.search(end)
         if m and last:
             out += end[: m.start(1)].rstrip()
+            fragment = m.group(1)
         elif m and (n := CONTINUES.match(lines[i + 1])):
             keep = end[-1] in "-‐‑" and _compound(m.group(1).lower(), n.group(1).lower(), model)
             out += end[:-1] + ("-" if keep else "")
@@ -52,7 +55,7 @@ def delined(lines: list[str], model: "Model") -> str:
             out += end + ("" if last else " ")
         if not last and not dense:
             lines = [*lines[: i + 1], lines[i + 1].lstrip(), *lines[i + 2 :]]
-    return out.strip()
+    return out.strip(), fragment
 
 
 def shapes(text: str) -> str:
@@ -72,11 +75,23 @@ def marks(text: str):
         yield (s[a - 1] if a else "^") + (run if run[0] != " " else run[:2]) + (s[z] if z < len(s) else "$")
 
 
+_UNDONE = [(b, a) for a, b in CONFUSED[:24]]
+
+
+def _confused(w: str, pairs: list[tuple[str, str]]):
+    """The word with one confusion, at each place."""
+    for a, b in pairs:
+        i = w.find(a)
+        while i >= 0:
+            yield w[:i] + b + w[i + len(a) :]
+            i = w.find(a, i + 1)
+
+
 class Model:
     """What clean text looks like. ``words`` maps a lower-case word to its count."""
 
-    def __init__(self, words: dict[str, int], pairs: set[str], compounds: set[str], contexts: set[str], han: dict[str, int], han_pairs: set[str], odd: dict[str, int] | None = None):
-        self.words, self.pairs, self.compounds, self.contexts, self.han, self.han_pairs = words, pairs, compounds, contexts, han, han_pairs
+    def __init__(self, words: dict[str, int], pairs: set[str], compounds: set[str], contexts: set[str], han: dict[str, int], han_pairs: dict[str, int], odd: dict[str, int] | None = None):
+        self.words, self.pairs, self.compounds, self.contexts, self.han, self.han_pairs = words, pairs, compounds, contexts, han, han_pairs  # counts of words, ideographs and their pairs
         self.total = max(1, sum(words.values()))
         self.han_total = max(1, sum(han.values()))
         self.parts = {c.split("-")[0] for c in compounds}
@@ -85,6 +100,7 @@ class Model:
         self.mark_chars = {x for c in contexts for x in c[1:-1]}
         self.odd = odd or {}  # words that only noisy documents have, with their counts
         self.seen: dict[str, tuple[float, str] | None] = {}
+        self._index = self._around = None
 
     def cost(self, w: str) -> float:
         """-log P of a known word; all numbers are known and equally rare."""
@@ -105,50 +121,82 @@ class Model:
         kept = "".join(c for c in p if c.isspace() or c in chars)
         return p if kept == p else (" " if kept.isspace() else kept.replace("  ", " "))
 
+    @property
+    def index(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(keys, numbers, words): hashes of the known words with one letter left out, or one confusion undone, and the words they
+        belong to, in order of the keys. Built once per process; a word has some twenty entries of twelve bytes."""
+        if self._index is None:
+            words = [w for w in self.words if len(w) > 1]
+            keys: list[int] = []
+            numbers: list[int] = []
+            for n, w in enumerate(words):
+                own = {hash(w[:i] + "*" + w[i + 1 :]) for i in range(len(w))} | {hash(x) for x in _confused(w, _UNDONE)}
+                keys.extend(own)
+                numbers.extend([n] * len(own))
+            order = np.argsort(np.array(keys, np.int64), kind="stable")
+            self._index = (np.array(keys, np.int64)[order], np.array(numbers, np.int32)[order], words)
+        return self._index
+
+    def _met(self, texts: list[str]) -> set[str]:
+        """Known words that have an entry like one of the texts."""
+        keys, numbers, words = self.index
+        at = np.array([hash(t) for t in texts], np.int64)
+        low, high = np.searchsorted(keys, at, "left"), np.searchsorted(keys, at, "right")
+        return {words[numbers[i]] for a, z in zip(low.tolist(), high.tolist()) if a < z for i in range(a, z)}
+
     def variants(self, w: str):
-        """Readings of one misread word: one or two confusions, else one lost, stray or changed letter."""
-        one = set()
-        for a, b in CONFUSED:
-            i = w.find(a)
-            while i >= 0:
-                one.add(w[:i] + b + w[i + len(a) :])
-                i = w.find(a, i + 1)
-        for v in one:
-            yield 3.0, v
+        """(cost, reading) of one misread word: one or two confusions, else one lost, stray or changed letter. Readings are known.
+
+        Readings two steps away are looked up from both sides: what one step makes of the word, against what
+        one step back makes of the known words.
+        """
+        one = set(_confused(w, CONFUSED))
         for v in one:
-            for a, b in CONFUSED[:24]:
-                i = v.find(a)
-                while i >= 0:
-                    yield 6.0, v[:i] + b + v[i + len(a) :]
-                    i = v.find(a, i + 1)
+            if self.known(v):
+                yield 3.0, v
+        if one:
+            for v in self._met(list(one)):
+                if any(x in one for x in _confused(v, _UNDONE)):
+                    yield 6.0, v
         if len(w) >= 4:
             for i in range(len(w)):
-                yield 5.0, w[:i] + w[i + 1 :]
-                for c in ALPHABET:
-                    yield 6.0, w[:i] + c + w[i + 1 :]
-            for i in range(len(w) + 1):
-                for c in ALPHABET:
-                    yield 5.0, w[:i] + c + w[i:]
+                if self.known(v := w[:i] + w[i + 1 :]):
+                    yield 5.0, v
+            for v in self._met([w[:i] + "*" + w[i + 1 :] for i in range(len(w))]):
+                i = next((i for i, (x, y) in enumerate(zip(w, v)) if x != y), -1)
+                if len(v) == len(w) and i >= 0 and v[i] in ALPHABET and v[i + 1 :] == w[i + 1 :]:
+                    yield 6.0, v
+            for v in self._met([w[:i] + "*" + w[i:] for i in range(len(w) + 1)]):
+                i = next((i for i, (x, y) in enumerate(zip(w, v)) if x != y), len(w))
+                if len(v) == len(w) + 1 and v[i] in ALPHABET and v[i + 1 :] == w[i:]:
+                    yield 5.0, v
 
     def word(self, w: str) -> tuple[float, str] | None:
-        """Cheapest reading of a run of letters as one word (cost above the word's own, reading), else None."""
+        """Cheapest reading of a run of letters as one word (cost above the word's own, reading), else None; of equals the first by letters."""
         if self.known(w):
             return 0.0, w
         if w not in self.seen:
-            best = None
-            for c, v in self.variants(w):
-                if len(v) > 1 and self.known(v):
-                    whole = c + self.cost(v)
-                    if best is None or whole < best[0]:
-                        best = (whole, v)
+            best = min(((c + self.cost(v), v) for c, v in self.variants(w) if len(v) > 1), default=None)
             # a form nearly as frequent as what it would be read as is a word of its own
             if best is not None and self.odd.get(w, 0) * (20 if best[0] - self.cost(best[1]) <= 3.0 else 50) > self.words.get(best[1], 0):
                 best = None
-            self.seen[w] = None if best is None else (best[0] - self.cost(best[1]), best[1])
             if len(self.seen) > 200_000:
                 self.seen.clear()
+            self.seen[w] = None if best is None else (best[0] - self.cost(best[1]), best[1])
         return self.seen.get(w)
 
+    @property
+    def around(self) -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+        """(followers, predecessors) of each ideograph in clean text."""
+        if self._around is None:
+            after: dict[str, set[str]] = {}
+            before: dict[str, set[str]] = {}
+            for a, b in self.han_pairs:
+                after.setdefault(a, set()).add(b)
+                before.setdefault(b, set()).add(a)
+            self._around = after, before
+        return self._around
+
     def merged(self, w: str) -> list[str] | None:
         """Two known words that lost the blank between them."""
         best = None
@@ -258,7 +306,8 @@ def misread(text: str, model: Model) -> tuple[bool, str]:
             while j < len(pieces) and HAN.match(pieces[j]):
                 j += 1
             run = "".join(pieces[i:j])
-            bad, i = han_run(run, model) or bad, j
+            flag, run = han_run(run, model)
+            bad, i = flag or bad, j
             out.append(run)
             continue
         if not WORD.match(p):
@@ -310,12 +359,44 @@ def _recased(words: list[str], seen: list[str]) -> list[str]:
     return out
 
 
-def han_run(run: str, model: Model) -> bool:
-    """Ideographs that clean text does not have are misread. Neighbours that it never shows, though chance alone
-    would have put them together EXPECTED times, are misread, lost or stray ones."""
-    if any(c not in model.han for c in run):
-        return True
-    for a, b in zip(run, run[1:]):
-        if a + b not in model.han_pairs and model.han[a] * model.han[b] > EXPECTED * model.han_total:
-            return True
-    return False
+def han_run(run: str, model: Model) -> tuple[bool, str]:
+    """(misread, repaired run). Ideographs that clean text does not have are misread. Neighbours that it never shows, though chance alone
+    would have put them together EXPECTED times, are misread, lost or stray ones.
+
+    From left to right, the cheapest of three repairs whose neighbours clean text knows: another ideograph in place of the one at fault,
+    one more between two, or one less. Of several ideographs the likeliest between its neighbours; where none fits, the run stays.
+    """
+    odd = lambda a, b: a not in model.han or b not in model.han or (a + b not in model.han_pairs and model.han[a] * model.han[b] > EXPECTED * model.han_total)
+    if not (any(c not in model.han for c in run) or any(odd(a, b) for a, b in zip(run, run[1:]))):
+        return False, run
+    after, before = model.around
+
+    def price(a: str, x: str, b: str) -> float:
+        """-log P of an ideograph between two, by what follows what; at an edge by how often it stands at all."""
+        left = model.han[a] / model.han_pairs[a + x] if a else model.han_total / model.han[x]
+        return math.log(left) + (math.log(model.han[x] / model.han_pairs[x + b]) if b else 0.0)
+
+    out, rest = "", run
+    while rest:
+        c, nxt, past, last = rest[0], rest[1:2], rest[2:3], out[-1:]
+        if c in model.han and (not nxt or not odd(c, nxt)) and (not last or not odd(last, c)):
+            out, rest = out + c, rest[1:]
+            continue
+        options: list[tuple[float, str, str]] = []
+        if nxt and c in model.han:  # the next one is at fault, or one is missing before it
+            swap = after.get(c, set()) & before.get(past, set()) if past else after.get(c, set())
+            options += [(6.0 + price(c, x, past), c + x, rest[2:]) for x in swap]
+            options += [(8.0 + price(c, x, nxt), c + x, rest[1:]) for x in after.get(c, set()) & before.get(nxt, set())]
+            if past and c + past in model.han_pairs:
+                options.append((8.0 + price(c, past, ""), c, rest[2:]))
+        if c not in model.han or (last and odd(last, c)):  # this one is
+            swap = after.get(last, set()) & before.get(nxt, set()) if last and nxt else after.get(last, set()) if last else before.get(nxt, set()) if nxt else set()
+            options += [(6.0 + price(last, x, nxt), x, rest[1:]) for x in swap]
+            if last and last + nxt in model.han_pairs:
+                options.append((8.0 + price(last, nxt, ""), "", rest[1:]))
+        if not options:
+            out, rest = out + c, rest[1:]
+            continue
+        _, put, rest = min(options)
+        out += put
+    return True, out

@@ -19,14 +19,16 @@ def model():
         ctx.update(S.marks(t))
         for c in S.HAN.findall(t):
             han[c] += 1
-    return S.Model(words, {p for p in pairs if p.replace(" ", "") in words}, set(comp), set(ctx), dict(han), set(grams))
+        for run in S.re.findall("[一-鿿]+", t):
+            grams.update(a + b for a, b in zip(run, run[1:]))
+    return S.Model(words, {p for p in pairs if p.replace(" ", "") in words}, set(comp), set(ctx), dict(han), dict(grams))
 
 
 M = model()
 
 
 def fix(text):
-    return S.misread(S.delined(text.split("\n"), M), M)
+    return S.misread(S.delined(text.split("\n"), M)[0], M)
 
 
 def test_confusions_splits_merges_and_strays():
@@ -35,7 +37,8 @@ def test_confusions_splits_merges_and_strays():
     assert fix("the valve ~ shows code")[0] and "~" not in fix("the valve ~ shows code")[1]
     assert not fix("The archivist reports that this is thermal.")[0]
     assert not fix("Unheardofname reports code.")[0]
-    assert fix("王要任务")[0] and not fix("主要任务")[0]
+    assert fix("王要任务") == (True, "主要任务") and fix("主要任务") == (False, "主要任务")
+    assert fix("定期更薪。权限") == (True, "定期更新。权限") and fix("主要任凹务") == (True, "主要任务")
 
 
 def test_hyphens():
@@ -55,6 +58,67 @@ def test_blocks_with_nulls_blanks_and_captions():
     assert kinds == ["furniture", "hyphen", "ocr", "caption"] and text == "the operator shows code"
 
 
+def test_readings_are_those_of_generating_every_variant():
+    """The lookup from both sides against the plain generation of all readings."""
+
+    def plain(w):
+        one = set(S._confused(w, S.CONFUSED))
+        out = {(3.0, v) for v in one} | {(6.0, x) for v in one for x in S._confused(v, S.CONFUSED[:24])}
+        if len(w) >= 4:
+            out |= {(5.0, w[:i] + w[i + 1 :]) for i in range(len(w))}
+            out |= {(6.0, w[:i] + c + w[i + 1 :]) for i in range(len(w)) for c in S.ALPHABET}
+            out |= {(5.0, w[:i] + c + w[i:]) for i in range(len(w) + 1) for c in S.ALPHABET}
+        return min(((c + M.cost(v), v) for c, v in out if len(v) > 1 and M.known(v)), default=None)
+
+    rnd = random.Random(3)
+    for _ in range(600):
+        w = rnd.choice(WORDS)
+        for _ in range(rnd.randrange(1, 3)):
+            i = rnd.randrange(len(w) + 1)
+            a, b = rnd.choice(S.CONFUSED)
+            w = rnd.choice([w.replace(b, a, 1), w[:i] + rnd.choice("abcü1") + w[i:], w[:i] + w[i + 1 :], w[:i] + rnd.choice("xyz") + w[i + 1 :]])
+        if w and not M.known(w):
+            want, got = plain(w), M.word(w)
+            assert got == (None if want is None else (want[0] - M.cost(want[1]), want[1])), w
+
+
+def test_words_broken_between_blocks_are_joined(spark):
+    rows = [("d", 3, "a", 0, False, P.judge("the archi-", None, set(), M)[1]), ("d", 9, "b", 1, False, P.judge("vist reports that", None, set(), M)[1]), ("d", 600, "c", 2, True, "Notes"), ("e", None, "x", None, False, "水泵"), ("e", 5, "y", 3, False, "运行")]
+    df = spark.createDataFrame(rows, "document_id string, block_no int, block_id string, page_idx int, leveled boolean, repaired string")
+    got = sorted((r.document_id, r.paragraph_no, r.page_from, r.page_to, tuple(r.block_ids), r.text) for r in P.paragraphs(df).collect())
+    assert got == [("d", 0, 0, 1, ("a", "b"), "the archivist reports that"), ("d", 1, 2, 2, ("c",), "Notes"), ("e", 0, 0, 3, ("x", "y"), "水泵运行")]
+
+
+def test_paragraphs_do_not_depend_on_spans(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = [("d", i, f"b{i:04}", i // 9, rnd.random() < 0.05, " ".join(rnd.choices(WORDS, k=rnd.randrange(1, 30))) + rnd.choice([".", "", ","])) for i in range(400)]
+    df = spark.createDataFrame(rows, "document_id string, block_no int, block_id string, page_idx int, leveled boolean, repaired string")
+    whole = sorted((r.paragraph_no, tuple(r.block_ids)) for r in P.paragraphs(df).collect())
+    monkeypatch.setattr(P, "SPAN", 64)
+    monkeypatch.setattr(P, "HALO", 32)
+    assert sorted((r.paragraph_no, tuple(r.block_ids)) for r in P.paragraphs(df).collect()) == whole
+    assert [b for _, bs in whole for b in bs] == [r[2] for r in rows]
+
+
+def test_dynamic_programme_equals_trying_everything():
+    rnd = random.Random(2)
+    for _ in range(60):
+        n = rnd.randrange(1, 9)
+        texts = ["x" * rnd.randrange(1, 60) + rnd.choice([".", ""]) for _ in range(n)]
+        levels, pages = [rnd.random() < 0.2 for _ in range(n)], sorted(rnd.randrange(3) for _ in range(n))
+
+        def cost(starts):
+            total = 0.0
+            for k, a in enumerate(starts):
+                z = starts[k + 1] if k + 1 < len(starts) else n
+                pair = lambda i: P.paragraph_cost(texts[i - 1], texts[i], levels[i] or levels[i - 1], pages[i] == pages[i - 1])  # noqa: E731,B023
+                total += (pair(a)[1] if a else 0) + sum(pair(i)[0] for i in range(a + 1, z)) + max(0.0, sum(len(t) for t in texts[a:z]) - 50) / 50
+            return total
+
+        every = [[0] + [i + 1 for i in range(n - 1) if m >> i & 1] for m in range(1 << (n - 1))]
+        assert abs(cost(P.boundaries(texts, levels, pages, 50)) - min(map(cost, every))) < 1e-9
+
+
 def test_paragraphs_by_dynamic_programming():
     texts = ["The valve shows", "code when this operator is thermal.", "Notes", "A new start."]
     assert P.boundaries(texts, [False, False, True, False], [0, 1, 1, 1]) == [0, 2, 3]
