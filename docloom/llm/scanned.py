@@ -42,7 +42,7 @@ def delined(lines: list[str], model: "Model") -> tuple[str, str]:
     for i, line in enumerate(lines):
         last = i + 1 == len(lines)
         end = line.rstrip()
-        m = BROKEN.search(end)
+        m = broken(end)
         if m and last:
             out += end[: m.start(1)].rstrip()
             fragment = m.group(1)
@@ -58,18 +58,35 @@ def delined(lines: list[str], model: "Model") -> tuple[str, str]:
     return out.strip(), fragment
 
 
+class _Shapes(dict):
+    """Class of a character by its code point, for ``str.translate``; filled as characters come up."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        got = self[code] = "H" if "一" <= c <= "鿿" else " " if c.isspace() else "0" if re.match(r"\d", c) else "a" if re.match(r"[^\W_]", c) else c
+        return got
+
+
+_SHAPES = _Shapes()
+
+
 def shapes(text: str) -> str:
     """The class of every character: letter a, digit 0, ideograph H, blank, or the mark itself."""
-    s = re.sub(r"[^\W\d_一-鿿]", "a", text)
-    s = re.sub(r"\d", "0", s)
-    s = re.sub(r"\s", " ", s)
-    return re.sub(r"[一-鿿]", "H", s)
+    return text.translate(_SHAPES)
+
+
+_MARKS = re.compile(r"[^a0H ]+|  +|(?<=H) (?=H)")
+
+
+def broken(line: str) -> re.Match | None:
+    """The word that a hyphen breaks at the end of a line (without white space behind it)."""
+    return BROKEN.search(line) if line and line[-1] in BREAK else None
 
 
 def marks(text: str):
     """Runs of marks with the classes around them. Double blanks, and blanks between ideographs, are marks too."""
     s = shapes(text)
-    for m in re.finditer(r"[^a0H ]+|  +|(?<=H) (?=H)", s):
+    for m in _MARKS.finditer(s):
         a, z = m.span()
         run = m.group()
         yield (s[a - 1] if a else "^") + (run if run[0] != " " else run[:2]) + (s[z] if z < len(s) else "$")
@@ -263,7 +280,7 @@ def broken_words(lines: list[str], model: Model, at_end: bool = True) -> list[tu
     """(line, whole word) of words broken by a hyphen at a line end, or at the end of the block (whole word unknown there: '')."""
     out = []
     for i, line in enumerate(lines):
-        m = BROKEN.search(line.rstrip())
+        m = broken(line.rstrip())
         if not m:
             continue
         a = m.group(1).lower()
@@ -319,10 +336,14 @@ def misread(text: str, model: Model) -> tuple[bool, str]:
             j += 2
         words = pieces[i:j:2]
         low = [w.lower() for w in words]
-        odd = [not (model.known(w) or CODE.match(v)) for w, v in zip(low, words)]
+        odd = [not (w in model.words or w.isdigit() or CODE.match(v)) for w, v in zip(low, words)]
         for k in range(len(low) - 1):  # two words that look like one, split
             if low[k] + low[k + 1] in model.words and low[k] + " " + low[k + 1] not in model.pairs:
                 odd[k] = odd[k + 1] = True
+        if True not in odd:
+            out.append("".join(pieces[i:j]))
+            i = j
+            continue
         if i == 0 and odd[0] and words[0].islower():
             got = model.word(low[0])
             odd[0] = bool(got and got[0] <= 3.0)
