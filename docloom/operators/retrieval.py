@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import lexical as L
@@ -34,12 +34,44 @@ def _once(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return df.select(F.col(key).alias(name), F.inline(F.array(F.struct(L.tokens(text).alias("words")))))
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf, length): the inverted index as rows. Documents without a token have none."""
+def postings(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, length): the inverted index as rows, of the terms in ``only`` (column term) where given. Documents without a token
+    have none. Terms are picked before anything is shuffled, so a question moves its own postings only."""
     rows = _once(docs, doc_id, text, "doc_id").select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    if only is not None:
+        rows = rows.join(small(only.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def indexed(docs: DataFrame, doc_id: str, text: str, only: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the terms in ``only``, (n_docs, mean_length) of all documents), both from one pass over the texts."""
+    seen = Observation()
+    n = F.size("words")
+    words = _once(docs, doc_id, text, "doc_id").observe(seen, F.count_if(n > 0).alias("n_docs"), F.sum(n).alias("total"))
+    rows = words.select("doc_id", n.alias("length"), F.explode("words").alias("term")).join(small(only.select("term").distinct()), "term", "left_semi")
+    index = materialize(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+    got = seen.get
+    mean = got["total"] / got["n_docs"] if got["n_docs"] else 0.0
+    return index, docs.sparkSession.createDataFrame([(got["n_docs"], float(mean))], "n_docs bigint, mean_length double")
+
+
+def save_postings(docs: DataFrame, doc_id: str, text: str, path: str, buckets: int = 256) -> None:
+    """Write the index once for many questions: Parquet in ``buckets`` folders by hash of the term, sorted by term inside, so that a question
+    reads the folders and row groups of its own terms; and the lengths of all documents beside it."""
+    index = postings(docs, doc_id, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    index.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = _once(docs, doc_id, text, "doc_id").select(F.size("words").alias("length")).where("length > 0")
+    lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def load_postings(spark: SparkSession, path: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``indexed`` gives, from a written index."""
+    n = spark.read.parquet(f"{path}/lengths")
+    wanted = materialize(terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(n.first()["buckets"])).cast("int")))
+    index = spark.read.parquet(f"{path}/postings").join(small(wanted), ["bucket", "term"], "left_semi").drop("bucket")
+    return index, n.select("n_docs", "mean_length")
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, weight, n_terms): weights accumulate over repeats and sum to 1 per query."""
     rows = _once(queries, query_id, text, "query_id").select("query_id", F.explode("words").alias("term"))
@@ -149,17 +181,17 @@ def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df, per.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
-def bm25_scores(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): BM25 of each match."""
-    df, n = statistics(index)
-    rows = matches(terms.join(df, "term"), index).crossJoin(F.broadcast(n))
+def bm25_scores(terms: DataFrame, index: DataFrame, n: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): BM25 of each match. ``n`` (n_docs, mean_length), where the index has the queries' terms only."""
+    df, own = statistics(index)
+    rows = matches(terms.join(df, "term"), index).crossJoin(F.broadcast(own if n is None else n))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("mean_length"))).alias("score"))
 
 
-def flat_scores(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): the similarity without length norm or term frequency."""
-    df, n = statistics(index)
-    rows = matches(terms.join(df, "term"), index).crossJoin(F.broadcast(n))
+def flat_scores(terms: DataFrame, index: DataFrame, n: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): the similarity without length norm or term frequency; ``n`` as in ``bm25_scores``."""
+    df, own = statistics(index)
+    rows = matches(terms.join(df, "term"), index).crossJoin(F.broadcast(own if n is None else n))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(flat_similarity(F.col("df"), F.col("n_docs"))).alias("score"))
 
 
@@ -193,7 +225,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, que
 
         return df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint"), vector).mapInArrow(run, f"{name}_ids binary, {name}_m binary")
 
-    pairs = pack(vectors, vec_id, VECTOR_BLOCK, "v").crossJoin(small(pack(queries, query_id, QUERY_BLOCK, "q")))
+    pairs = pack(vectors, vec_id, VECTOR_BLOCK, "v").crossJoin(small(materialize(pack(queries, query_id, QUERY_BLOCK, "q"))))
 
     def score(batches):
         for b in batches:

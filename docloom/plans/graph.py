@@ -118,8 +118,8 @@ def tag_prior(spark, sf_dir):
 
 
 def _tag_matches(spark, sf_dir):
-    terms = R.query_terms(table(spark, sf_dir, "eval_items").where("item_id % 50 = 0"), "item_id", "text")
-    s = R.at_least(R.token_similarity(terms, R.postings(_tags(spark, sf_dir), "doc_id", "text")), 0.3)
+    terms = materialize(R.query_terms(table(spark, sf_dir, "eval_items").where("item_id % 50 = 0"), "item_id", "text"))
+    s = R.at_least(R.token_similarity(terms, R.postings(_tags(spark, sf_dir), "doc_id", "text", terms)), 0.3)
     return s.select("query_id", "doc_id").join(_tags(spark, sf_dir).select("doc_id", F.explode("t").alias("tag")).where("tag is not null"), "doc_id")
 
 

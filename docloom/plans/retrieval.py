@@ -19,16 +19,21 @@ def _docs(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    return R.query_terms(table(spark, sf_dir, "eval_items").where("item_id % 50 = 0"), "item_id", "text")
+    return materialize(R.query_terms(table(spark, sf_dir, "eval_items").where("item_id % 50 = 0"), "item_id", "text"))
 
 
-def _index(spark, sf_dir):
-    return R.postings(_docs(spark, sf_dir), "doc_id", "text")
+def _index(spark, sf_dir, terms=None):
+    return R.postings(_docs(spark, sf_dir), "doc_id", "text", terms)
+
+
+def _similar(spark, sf_dir):
+    terms = _terms(spark, sf_dir)
+    return R.token_similarity(terms, _index(spark, sf_dir, terms))
 
 
 def flagship(spark, sf_dir):
     """Questions to ranked documents: weights, similarity, threshold, top 30 per question."""
-    s = R.token_similarity(_terms(spark, sf_dir), _index(spark, sf_dir)).where(F.round("similarity", 6) >= SPEC.threshold)
+    s = _similar(spark, sf_dir).where(F.round("similarity", 6) >= SPEC.threshold)
     return R.top_k(s.withColumn("similarity", F.round("similarity", 6)), 30, "similarity", "query_id").select("query_id", "doc_id", "similarity", "rank")
 
 
@@ -51,21 +56,23 @@ def postings_df(spark, sf_dir):
 
 
 def bm25_score(spark, sf_dir):
-    s = R.bm25_scores(_terms(spark, sf_dir), materialize(_index(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    terms = _terms(spark, sf_dir)
+    s = R.bm25_scores(terms, *R.indexed(_docs(spark, sf_dir), "doc_id", "text", terms)).withColumn("score", F.round("score", 6))
     return R.top_k(s, 20, "score", "query_id").select("query_id", "doc_id", "score", "rank")
 
 
 def custom_similarity_score(spark, sf_dir):
-    s = R.flat_scores(_terms(spark, sf_dir), materialize(_index(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    terms = _terms(spark, sf_dir)
+    s = R.flat_scores(terms, *R.indexed(_docs(spark, sf_dir), "doc_id", "text", terms)).withColumn("score", F.round("score", 6))
     return R.top_k(s, 20, "score", "query_id").select("query_id", "doc_id", "score", "rank")
 
 
 def min_should_match(spark, sf_dir):
-    return R.at_least(R.token_similarity(_terms(spark, sf_dir), _index(spark, sf_dir)), SPEC.min_match).groupBy("query_id").agg(F.count("*").alias("n_docs"), F.max("n_hits").alias("most_hits"))
+    return R.at_least(_similar(spark, sf_dir), SPEC.min_match).groupBy("query_id").agg(F.count("*").alias("n_docs"), F.max("n_hits").alias("most_hits"))
 
 
 def fallback_relaxed_match(spark, sf_dir):
-    s = R.token_similarity(_terms(spark, sf_dir), _index(spark, sf_dir))
+    s = _similar(spark, sf_dir)
     strict = R.at_least(s, 0.9).select("query_id", "doc_id", F.lit("strict").alias("mode"))
     relaxed = R.at_least(s, 0.5).select("query_id", "doc_id", F.lit("relaxed").alias("mode"))
     return R.with_fallback(strict, relaxed)
@@ -76,13 +83,13 @@ def field_boost_best(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("title", F.split("text", "\n")[0])
     terms = _terms(spark, sf_dir)
     fields = {"title": "title", "content": "text"}
-    parts = [R.flat_scores(terms, R.postings(docs, "doc_id", column)).select("query_id", "doc_id", F.lit(f).alias("field"), (F.col("score") * FIELD_BOOSTS[f]).alias("score")) for f, column in fields.items()]
+    parts = [R.flat_scores(terms, *R.indexed(docs, "doc_id", column, terms)).select("query_id", "doc_id", F.lit(f).alias("field"), (F.col("score") * FIELD_BOOSTS[f]).alias("score")) for f, column in fields.items()]
     best = parts[0].unionByName(parts[1]).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
     return R.top_k(best, 20, "score", "query_id").select("query_id", "doc_id", "score", "rank")
 
 
 def retrieval_threshold_facets(spark, sf_dir):
-    s = R.token_similarity(_terms(spark, sf_dir), _index(spark, sf_dir)).where(F.round("similarity", 6) >= SPEC.threshold)
+    s = _similar(spark, sf_dir).where(F.round("similarity", 6) >= SPEC.threshold)
     hits = s.join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
     return hits.groupBy("query_id", "source").agg(F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("best"))
 
@@ -92,7 +99,7 @@ def doc_hit_counts(spark, sf_dir):
 
 
 def rerank_window_page(spark, sf_dir):
-    s = R.token_similarity(_terms(spark, sf_dir), _index(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    s = _similar(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
     ranked = R.top_k(s, R.window_size(30), "similarity", "query_id")
     return R.page_of(ranked, R.Retrieve(page=2, page_size=30)).select("query_id", "doc_id", "rank")
 

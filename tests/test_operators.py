@@ -147,3 +147,16 @@ def test_broadcasts_only_of_proven_sizes(spark, tmp_path):
     assert not R.bounded(rows.select("id").mapInArrow(lambda b: b, "id long"))
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(R.small(rows)) and not hinted(R.small(rows, 10)) and not hinted(R.small(rows.selectExpr("explode(a)")))
+
+
+def test_written_postings_answer_like_those_of_one_pass(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red valve opens red"), (2, "blue valve"), (3, ""), (4, None), (5, "green line red")], "doc_id int, text string")
+    terms = R.query_terms(spark.createDataFrame([(9, "red valve nothing")], "q int, text string"), "q", "text")
+    R.save_postings(docs, "doc_id", "text", str(tmp_path / "ix"), 8)
+    a, n = R.indexed(docs, "doc_id", "text", terms)
+    b, m = R.load_postings(spark, str(tmp_path / "ix"), terms)
+    key = lambda df: sorted((r.doc_id, r.term, r.tf, r.length) for r in df.collect())
+    assert key(a) == key(b) == [(1, "red", 2, 4), (1, "valve", 1, 4), (2, "valve", 1, 2), (5, "red", 1, 3)]
+    assert n.collect() == m.collect() and n.first().n_docs == 3 and n.first().mean_length == 3.0
+    whole = {(r.query_id, r.doc_id): round(r.score, 9) for r in R.bm25_scores(terms, R.postings(docs, "doc_id", "text")).collect()}
+    assert {(r.query_id, r.doc_id): round(r.score, 9) for r in R.bm25_scores(terms, b, m).collect()} == whole
