@@ -117,7 +117,7 @@ def with_layout(boxes: DataFrame, regions: DataFrame, page_height: float, least:
     the last tenth of a page and a header below the first; a text that is dropped there more than once is dropped everywhere.
     """
     order = F.create_map(*[F.lit(x) for i, k in enumerate(PRIORITY) for x in (k, i)])
-    clean = boxes.where(~F.coalesce(F.col("text"), F.lit("")).rlike("|".join(GARBAGE)))
+    clean = boxes.drop("layoutno", "layout_type").where(~F.coalesce(F.col("text"), F.lit("")).rlike("|".join(GARBAGE)))
     where = lambda df: df.withColumn("page", F.struct("doc_id", "page"))
     shares = overlaps(where(clean), where(regions), least)
     claims = shares.join(regions.select("region_id", "kind"), "region_id").withColumn("_o", F.try_element_at(order, "kind")).where("_o is not null")
