@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.runtime import latest, materialize, release
+from docloom import runtime
+from docloom.runtime import latest, materialize, release, skewed_join
 
 #: Consecutive tour positions that the interval join keeps together.
 TOUR_BLOCK = 256
+#: Buckets of a node's children, by hash: children are ordered bucket by bucket.
+BUCKETS = 1024
 
 
 def current_links(rows: DataFrame, node: str, parent: str, version: Column, extra: list[str]) -> DataFrame:
@@ -46,12 +49,15 @@ def peel(links: DataFrame) -> DataFrame:
     state = materialize(links.select("node", F.col("parent").alias("jump")).where("jump is not null"))
     size = -1
     while True:
-        image = state.select("jump").distinct().count()
+        meeting = state.groupBy("jump").agg(F.count("*").alias("_n"))
+        image, most = meeting.agg(F.count("*"), F.max("_n")).first()
         if image == size or image == 0:
             break
         size = image
         hop = state.select(F.col("node").alias("jump"), F.col("jump").alias("_next"))
-        doubled = materialize(state.join(hop, "jump").select("node", F.col("_next").alias("jump")))
+        # doubling makes the last nodes of large trees the aim of all others
+        near = skewed_join(state, hop, "jump", "node", materialize(meeting.where(F.col("_n") > runtime.HOT_ROWS))) if most > runtime.HOT_ROWS else state.join(hop, "jump")
+        doubled = materialize(near.select("node", F.col("_next").alias("jump")))
         release(state)
         state = doubled
     if image == 0:
@@ -78,16 +84,38 @@ def ring_members(links: DataFrame) -> DataFrame:
     return peel(links).where("ring is not null")
 
 
-def euler_tour(links: DataFrame, order: str = "node") -> DataFrame:
-    """Nodes off any ring with ``root, depth, entry, exit`` (root: depth 0; positions from 0 per tree).
+def euler_tour(links: DataFrame, order: str | None = None) -> DataFrame:
+    """Nodes off any ring with ``root, depth, entry, exit`` (root: depth 0; positions from 0 per tree). Siblings follow each other by the column
+    ``order``; without one by hash, so that those of a folder above a third of all files are lined up by many tasks.
 
     Arc ids are (node, 0) on the way down and (node, 1) on the way up. Each arc starts with its successor,
     distance 1 and weight +1 or -1; doubling adds what lies ahead until every pointer is at its end.
     """
-    rings = materialize(peel(links))
-    forest = materialize(links.join(rings.where("ring is null"), "node", "left_semi").select("node", "parent", F.col(order).alias("_order")))
-    sibling = Window.partitionBy("parent").orderBy("_order", "node")
-    kids = forest.where("parent is not null").withColumn("_next", F.lead("node").over(sibling)).withColumn("_first", F.row_number().over(sibling) == 1)
+    return _tour(links, materialize(peel(links)), order)
+
+
+def _siblings(forest: DataFrame, order: str | None) -> DataFrame:
+    """(node, parent, _next, _first): the sibling that follows, and whether a node is its parent's first child."""
+    kids = forest.where("parent is not null")
+    if order is not None:
+        w = Window.partitionBy("parent").orderBy("_order", "node")
+        return kids.select("node", "parent", F.lead("node").over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_first"))
+    kids = kids.withColumn("_b", F.pmod(F.xxhash64("node"), F.lit(BUCKETS)))
+    most = kids.groupBy("parent").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= runtime.HOT_ROWS:
+        w = Window.partitionBy("parent").orderBy("_b", "node")
+        return kids.select("node", "parent", F.lead("node").over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_first"))
+    ends = kids.groupBy("parent", "_b").agg(F.min("node").alias("_low"))
+    w = Window.partitionBy("parent").orderBy("_b")
+    ends = ends.select("parent", "_b", F.lead("_low").over(w).alias("_ahead"), (F.row_number().over(w) == 1).alias("_head"))
+    inside = Window.partitionBy("parent", "_b").orderBy("node")
+    lined = kids.withColumn("_n", F.lead("node").over(inside)).withColumn("_r", F.row_number().over(inside)).join(ends, ["parent", "_b"])
+    return lined.select("node", "parent", F.coalesce("_n", "_ahead").alias("_next"), (F.col("_head") & (F.col("_r") == 1)).alias("_first"))
+
+
+def _tour(links: DataFrame, rings: DataFrame, order: str | None) -> DataFrame:
+    forest = materialize(links.join(rings.where("ring is null"), "node", "left_semi").select("node", "parent", F.col(order if order else "node").alias("_order")))
+    kids = materialize(_siblings(forest, order))
     first = kids.where("_first").select(F.col("parent").alias("node"), F.col("node").alias("child"))
     nodes = forest.join(first, "node", "left").join(kids.select("node", "_next"), "node", "left")
     arc = lambda node, up: F.struct(node.alias("n"), F.lit(up).alias("u"))
@@ -135,7 +163,8 @@ def hierarchy(links: DataFrame, name: str = "name", separator: str = "/") -> Dat
     Nodes on or below a ring have ``ring``, depth and n_descendants -1, and no root, path or interval.
     Null names appear as empty path parts.
     """
-    tour = materialize(euler_tour(links))
+    rings = materialize(peel(links))
+    tour = materialize(_tour(links, rings, None))
     names = links.select(F.col("node").alias("ancestor"), F.coalesce(F.col(name), F.lit("")).alias("_name"))
     parts = (
         descendants(tour)
@@ -145,5 +174,5 @@ def hierarchy(links: DataFrame, name: str = "name", separator: str = "/") -> Dat
     )
     path = parts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_d", "_name"))).alias("_p")).select("node", F.array_join(F.transform("_p", lambda x: x["_name"]), separator).alias("path"))
     placed = tour.join(path, "node").select("node", "root", "depth", "path", "entry", "exit", ((F.col("exit") - F.col("entry") - 1) / 2).cast("bigint").alias("n_descendants"))
-    ringed = peel(links).where("ring is not null")
+    ringed = rings.where("ring is not null")
     return placed.join(ringed, "node", "full").withColumns({"depth": F.coalesce("depth", F.lit(-1)), "n_descendants": F.coalesce("n_descendants", F.lit(-1).cast("bigint"))})

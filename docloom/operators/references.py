@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom import runtime
+from docloom.runtime import materialize, skewed_join
+
 BLOCK_BITS = 16
-SALTS = 16
 
 
 def encode_key(col: Column) -> list[Column]:
@@ -69,16 +71,15 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .agg(F.min(F.coalesce("deleted", F.lit(False))).alias("deleted"), F.min("created").alias("made"))
         .withColumn("_k", F.concat_ws("/", "target", "key"))
     )
-    used = refs.groupBy("_k").agg(F.min("created").alias("first_use"))
-    gone = missing_keys(used, key_runs(parents, "_k"), "_k").withColumn("state", F.lit("missing")).withColumn("made", F.lit(None).cast("timestamp_ntz"))
+    used = materialize(refs.groupBy("_k").agg(F.min("created").alias("first_use"), F.count("*").alias("_n")))
+    gone = missing_keys(used.drop("_n"), key_runs(parents, "_k"), "_k").withColumn("state", F.lit("missing")).withColumn("made", F.lit(None).cast("timestamp_ntz"))
     faulty = (
         used.join(parents.select("_k", "deleted", "made"), "_k")
         .where(F.col("deleted") | (F.col("made") > F.col("first_use")))
         .select("_k", F.when(F.col("deleted"), "deleted").otherwise("late").alias("state"), F.col("made").cast("timestamp_ntz"))
         .unionByName(gone.select("_k", "state", "made"))
     )
-    salted = faulty.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = refs.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(salted, ["_k", "_salt"])
+    hits = skewed_join(refs, faulty, "_k", "record_id", used.where(F.col("_n") > runtime.HOT_ROWS).select("_k", "_n"))
     return (
         hits.where((F.col("state") != "late") | (F.col("made") > F.col("created").cast("timestamp_ntz")))
         .select("table_name", "record_id", "field_name", F.col("state").alias("reason"), F.date_format("created", "yyyy-MM").alias("period"))

@@ -100,6 +100,24 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bounded(df) and plan_bytes(df) <= limit else df
 
 
+#: Rows of one key that a join leaves to one task.
+HOT_ROWS = 1 << 20
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """Inner join to ``right``, which is unique in ``key``. ``hot`` (key, _n) has the keys with more than HOT_ROWS rows of ``left`` and their counts:
+    those rows are dealt by ``spread`` over as many tasks as they need, and the row they meet goes to each of them.
+
+    There are at most as many hot keys as HOT_ROWS goes into the rows, so ``hot`` is small at any size.
+    """
+    if hot.isEmpty():
+        return left.join(right, key)
+    marked = small(materialize(hot.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_salts"))))
+    dealt = left.join(marked, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copied = right.join(marked, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators.hierarchy import current_links, descendants, euler_tour, hierarchy, ring_members
+from docloom import runtime
 from docloom.runtime import materialize
 
 SCHEMA = "file_id string, parent_id string, file_name string, update_time timestamp, node string, ring string"
@@ -32,14 +34,16 @@ def brute(rows):
     return parent, out
 
 
-def test_random_forests_with_rings_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [1 << 20, 3])
+def test_random_forests_with_rings_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(runtime, "HOT_ROWS", hot)
     rnd = random.Random(5)
     rows = []
     for i in range(120):
         kind = rnd.random()
         p = f"n{rnd.randrange(120)}" if kind < 0.85 else rnd.choice([None, "", f"n{i}", "gone"])
         rows.append((f"n{i}", p, rnd.choice(["x", "y", None])))
-    rows += [(f"chain{i}", f"chain{i - 1}" if i else None, str(i)) for i in range(70)]
+    rows += [(f"chain{i}", f"chain{i - 1}" if i else None, str(i)) for i in range(70)] + [(f"kid{i}", "chain9", "k") for i in range(60)]
     links = links_of(spark, rows)
     parent, want = brute(rows)
     got = {r.node: (r.root, r.depth, r.path, r.ring) for r in hierarchy(links, "file_name").collect()}
@@ -64,3 +68,8 @@ def test_empty_repeated_and_null_rows(spark):
 def test_ring_only(spark):
     links = links_of(spark, [("a", "b", ""), ("b", "c", ""), ("c", "a", ""), ("d", "a", ""), ("s", "s", "")])
     assert {(r.node, r.ring) for r in ring_members(links).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a")}
+
+
+def test_siblings_keep_a_given_order(spark):
+    links = links_of(spark, [("r", None, "0"), ("a", "r", "3"), ("b", "r", "1"), ("c", "r", "2")])
+    assert [r.node for r in euler_tour(links, "file_name").orderBy("entry").collect()] == ["r", "b", "c", "a"]

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+
+from docloom import runtime
 from docloom.operators.references import encode_key, key_runs, missing_keys, orphan_counts, orphan_references
 
 T = dt.datetime
@@ -30,7 +33,9 @@ def test_reasons_periods_and_dirt(spark):
     assert got == {("1", "deleted", "2024-04"), ("1", "late", "2024-04"), ("1", "missing", "2024-04"), ("3", "missing", None)}
 
 
-def test_hot_key_and_empty(spark):
+@pytest.mark.parametrize("hot", [1 << 20, 90])
+def test_hot_key_and_empty(spark, monkeypatch, hot):
+    monkeypatch.setattr(runtime, "HOT_ROWS", hot)
     parents = spark.createDataFrame([], PARENTS)
     refs = spark.createDataFrame([("a", str(i), "f", "t", "hot", T(2024, 1, 1), "s", "m") for i in range(500)], REFS)
     assert orphan_counts(orphan_references(refs, parents)).collect()[0].n_references == 500
