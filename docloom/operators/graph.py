@@ -311,3 +311,38 @@ def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(e, "name", "left").select("name", F.to_json(F.struct("name", "type", "description", "links")).alias("json"))
 
 
+def rebuilt(nodes: DataFrame, edges: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all subgraphs put together, without what only the ``excluded`` sources (source_id) brought."""
+    kept = lambda df: df.join(excluded.select("source_id").distinct(), "source_id", "left_anti")
+    return merge_nodes(kept(nodes)), merge_edges(kept(edges))
+
+
+def entities_by_type(nodes: DataFrame, most: int, tie: str = "name") -> DataFrame:
+    """The ``most`` entities of each type by falling rank, with their place."""
+    w = Window.partitionBy("type").orderBy(F.col("rank").desc(), F.col(tie).asc())
+    return nodes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def relations_of(edges: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """Edges with an end among ``names``; ``both_ends`` tells whether the other end is there too."""
+    n = names.select(F.col(key).alias("_k")).distinct()
+    a = edges.join(n.select(F.col("_k").alias("src"), F.lit(True).alias("_a")), "src", "left").join(n.select(F.col("_k").alias("dst"), F.lit(True).alias("_b")), "dst", "left")
+    return a.where("_a or _b").withColumn("both_ends", F.coalesce(F.col("_a") & F.col("_b"), F.lit(False))).drop("_a", "_b")
+
+
+def community_reports(members: DataFrame, edges: DataFrame, ranks: DataFrame, report, level: str = "level0", most_edges: int = 10_000) -> DataFrame:
+    """(community, size, n_edges, report) of communities of two and more nodes.
+
+    ``report`` (injected, a model) maps the entities ('name,rank' a line, by falling rank) and relations ('src,dst,weight' a line, by falling
+    weight, at most ``most_edges``, the bound of a prompt) to a text. ``n_edges`` counts all relations inside.
+    """
+    own = members.select("node", F.col(level).alias("community"))
+    line = lambda *c: F.concat_ws(",", *[F.col(x).cast("string") for x in c])
+    listed = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), "\n")
+    entities = own.join(ranks, "node").groupBy("community").agg(F.count("*").alias("size"), listed(F.struct(-F.col("rank"), "node"), line("node", "rank")).alias("_e")).where("size >= 2")
+    inner = edges.join(own.select(F.col("node").alias("src"), "community"), "src").join(own.select(F.col("node").alias("dst"), F.col("community").alias("_c")), "dst").where(F.col("community") == F.col("_c"))
+    first = inner.withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy(F.col("weight").desc(), "src", "dst"))).where(F.col("_r") <= most_edges)
+    relations = first.groupBy("community").agg(listed(F.col("_r"), line("src", "dst", "weight")).alias("_t"))
+    counts = inner.groupBy("community").agg(F.count("*").alias("n_edges"))
+    rows = entities.join(relations, "community", "left").join(counts, "community", "left")
+    return rows.select("community", "size", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), report(F.col("_e"), F.coalesce("_t", F.lit(""))).alias("report"))

@@ -167,21 +167,46 @@ def _folded(pieces: str, opens: str, tail: str = "''", joint: str = "chr(10)") -
     )
 
 
-def _pieces(budget: int, delimiters: str) -> str:
-    """Lines that are not blank, those at or above the budget cut at the delimiters."""
+def _pieces(budget: int, delimiters: str, source: str | None = None) -> str:
+    """Lines (of l, after ``source``) that are not blank, those at or above the budget cut at the delimiters."""
     cut = f"case when {_WORDS.format('text')} >= {budget} then regexp_split_to_array(text, '{delimiter_pattern(delimiters)}') else [text] end" if delimiters else "[text]"
     return (
-        f"{_lines()}, cu as (select doc_id, pos, {cut} as a from l where trim(text, ' ' || chr(9) || chr(13)) <> ''), "
+        f"{source or _lines()}, cu as (select doc_id, pos, {cut} as a from l where trim(text, ' ' || chr(9) || chr(13)) <> ''), "
         "un as (select doc_id, pos, unnest(range(len(a))) as j, unnest(a) as t from cu), "
         f"pc as (select doc_id, row_number() over (partition by doc_id order by pos, j) as i, t, {_WORDS.format('t')} as n from un where trim(t, ' ' || chr(9) || chr(13)) <> '')"
     )
 
 
+_SMART = (
+    f"{_lines()}, fe as (select *, sum(starts_with(text, '```')::int) {_OVER} % 2 = 1 as fence from l), rw as (select *, not fence and starts_with(ltrim(text), '|') as is_row from fe), "
+    "bl as (select *, sum((not is_row or not coalesce(was, false))::int) over (partition by doc_id order by pos rows unbounded preceding) as b from (select *, lag(is_row) over (partition by doc_id order by pos) as was from rw)), "
+    f"kb as (select doc_id, b as i, string_agg(text, chr(10) order by pos) as t, any_value(case when is_row then 'table' when fence then 'text' when {_MD} then 'heading' when regexp_matches(text, '^(-{{3,}}|\\*{{3,}})\\s*$') then 'rule' else 'text' end) as kind from bl group by 1, 2), "
+    f"sk as (select *, {_WORDS.format('t')} as n from kb), "
+    "wk as (select doc_id, i, 0 as k, case when kind = 'rule' then null else t end as t, case when kind = 'rule' then 0 else n end as size from sk where i = 1 union all "
+    "select doc_id, i, case when f then k + 1 else k end, case when kind = 'rule' then (case when f then null else old end) when f or old is null then new else old || chr(10) || new end, (case when f then 0 else size end) + (case when kind = 'rule' then 0 else n end) from "
+    "(select sk.doc_id, sk.i, wk.k, wk.size, sk.n, sk.kind, wk.t as old, sk.t as new, wk.t is not null and ((wk.size >= 20 and (sk.kind in ('heading', 'rule') or (sk.kind = 'table' and sk.n > 60))) or wk.size + sk.n > 120) as f from wk join sk on sk.doc_id = wk.doc_id and sk.i = wk.i + 1)), "
+    "ch as (select doc_id, k, arg_max(t, i) filter (t is not null) as t from wk group by 1, 2)"
+)
+_SECTIONS = (
+    f"{_D}, {_L.format(w='true').replace('l as', 'l0 as', 1)}, fe as (select *, sum(starts_with(text, '```')::int) {_OVER} % 2 = 1 as fence from l0), hs as (select *, not fence and {_MD} and length(regexp_extract(text, '^(#{{1,6}}) ', 1)) <= 3 as h from fe), "
+    f"sn as (select *, sum(h::int) {_OVER} as s from hs), se as (select doc_id as d, s, {_GT} as t from sn group by 1, 2), ok as (select *, contains(t, '```') or contains(t, chr(10) || '|') or {_WORDS.format('t')} <= 1.2 * 80 as whole from se where trim(t, ' ' || chr(10) || chr(9)) <> ''), "
+    "l as (select d * 100000 + sn.s as doc_id, pos, text from sn join ok on ok.d = sn.doc_id and ok.s = sn.s where not whole)"
+)
+_ADVANCED = (
+    f"{_folded(_pieces(80, chr(10) + '。；！？', _SECTIONS), 'fo.n > 80')}, al as (select d, s, 0 as j, t from ok where whole union all select doc_id // 100000, doc_id % 100000, chunk_no, t from fd), "
+    f"sq as (select d as doc_id, row_number() over (partition by d order by s, j) as i, t, {_WORDS.format('t')} as n from al), "
+    f"wk as (select doc_id, i, 0 as k, t, n from sq where i = 1 union all select sq.doc_id, sq.i, case when m then wk.k else wk.k + 1 end, case when m then wk.t || chr(10) || sq.t else sq.t end, case when m then {_WORDS.format('wk.t || chr(10) || sq.t')} else sq.n end from (select sq.*, wk.n < 40 and wk.n + sq.n <= 96 as m, wk.k as wk_k from wk join sq on sq.doc_id = wk.doc_id and sq.i = wk.i + 1) sq join wk on wk.doc_id = sq.doc_id and wk.i = sq.i - 1), "
+    "ch as (select doc_id, k as chunk_no, arg_max(t, i) as t from wk group by 1, 2)"
+)
+
+
 _PG = "d as (select document_id as doc_id, chunk_num as pages, parser_config from (select *, row_number() over (partition by document_id order by kb_id) as rn from kb_document) where rn = 1 and chunk_num > 0), t as (select doc_id, from_page, least(from_page + 12, pages)::int as to_page, md5(concat_ws('|', parser_config, doc_id, from_page, least(from_page + 12, pages))) as digest from (select *, unnest(range(0, pages, 12))::int as from_page from d))"
 SQL = {
     "chunk_naive_merge": f"with recursive {_folded(_pieces(64, chr(10) + '。；！？'), 'fo.n > 64')} select doc_id, chunk_no, md5(t) as text_md5 from fd",
     "chunk_overlap": f"with recursive {_folded(_pieces(64, chr(10) + '。；！？'), 'fo.n > 64 * 0.8', 'substr(fo.t, floor(length(fo.t) * 0.8)::int + 1)')} select doc_id, chunk_no, length(t)::int as n_chars from fd",
     "chunk_txt_merge": f"with recursive {_folded(_pieces(64, ''), 'fo.n > 64')} select doc_id, chunk_no, md5(t) as text_md5 from fd",
+    "chunk_markdown_smart": f"with recursive {_SMART} select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_no, md5(t) as text_md5 from ch where trim(t, ' ' || chr(10) || chr(9)) <> ''",
+    "chunk_markdown_advanced": f"with recursive {_ADVANCED} select doc_id, chunk_no, md5(t) as text_md5 from ch",
     "chunk_question_paths": f"""with {_lines()}, fe as (select *, sum(starts_with(text, '```')::int) {_OVER} as f from l),
       v as (select doc_id, pos, text, case when f % 2 = 0 and {_MD} then length(regexp_extract(text, '^(#{{1,6}}) ', 1)) - 1 end as level from fe),
       g as (select *, sum((level is not null)::int) {_OVER} as g, {', '.join(f"max(case when level = {i} then pos end) {_OVER} as p{i}" for i in range(6))} from v),
