@@ -276,16 +276,18 @@ def cluster_tree(rows: DataFrame, summarise, key: str = "vec_id", vector: str =
     while True:
         at = materialize(at)
         n = at.count()
-        if n <= 1 or layer > 8:
+        if n <= 1:
             top = at.select(F.lit(layer).alias("layer"), "node", F.lit(None).cast("string").alias("parent"), "n_members", "vector")
             return top if out is None else out.unionByName(top)
         k_most = max(1, min(most, n // 3))
         feats = at.withColumn("_v", array_to_vector("vector"))
         if k_most > 1:
             width = len(at.first().vector)
-            model = PCA(k=min(dims, width), inputCol="_v", outputCol="_p").fit(feats.limit(sample))
+            # a hash sample, the same in every run, of about ``sample`` vectors
+            some = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))
+            model = PCA(k=min(dims, width), inputCol="_v", outputCol="_p").fit(feats.where(some))
             space = materialize(model.transform(feats).select("node", vector_to_array("_p").alias("_pa"))).withColumn("_p", array_to_vector("_pa"))
-            fit = space.limit(sample)
+            fit = space.where(some)
             best = None
             d = min(dims, width)
             for k in range(2, k_most + 1, max(1, k_most // 4)):

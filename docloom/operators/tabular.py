@@ -42,13 +42,13 @@ def typed(cell: Column, kind: str) -> Column:
     return c
 
 
-def rows_to_chunks(df: DataFrame, key: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """(key, text): one chunk per row, 'column: value' joined by '; '; null and blank cells are left out."""
+def rows_to_chunks(df: DataFrame, key: str, drop: tuple[str, ...] = (), joint: str = "; ") -> DataFrame:
+    """(key, text): one chunk per row, 'column: value' joined by ``joint``; null and blank cells are left out."""
     if len(set(df.columns)) != len(df.columns):
         raise ValueError("duplicate column name")
     cols = [c for c in df.columns if c != key and c not in drop]
     parts = F.filter(F.array(*[F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in cols]), lambda x: x.isNotNull())
-    return df.select(key, F.array_join(parts, "; ").alias("text")).where("text <> ''")
+    return df.select(key, F.array_join(parts, joint).alias("text")).where("text <> ''")
 
 
 def html_blocks(df: DataFrame, order: str, size: int, *columns: str, within: str | None = None) -> DataFrame:
@@ -62,6 +62,34 @@ def html_blocks(df: DataFrame, order: str, size: int, *columns: str, within: str
     return rows.groupBy(*keys, "block").agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
 
 
+#: Rows to a block by the number of columns: (columns up to, most rows, least rows, parts of the table).
+BLOCK_ROWS = [(3, 20, 8, 3), (8, 15, 6, 4), (1 << 30, 12, 4, 5)]
+
+
+def block_rows(n_rows: Column, n_columns: int) -> Column:
+    """Rows to a block: a part of the table, within bounds that fall with the number of its columns; 12 for tables without rows."""
+    _, most, least, parts = next(x for x in BLOCK_ROWS if n_columns <= x[0])
+    return F.when(n_rows < 1, F.lit(12)).otherwise(F.least(F.lit(most), F.greatest(F.lit(least), F.floor(n_rows / parts)))).cast("int")
+
+
+def filled_down(df: DataFrame, within: str, order: str, *columns: str) -> DataFrame:
+    """Merged cells: a blank cell takes the last value above it in its table."""
+    w = Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)), ignorenulls=True).over(w) for c in columns})
+
+
+def adaptive_blocks(df: DataFrame, within: str, order: str, *columns: str) -> DataFrame:
+    """(within, block, n_rows, html): tables in blocks of a size that suits them, each with the header. Rows without any value are skipped."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    some = df.where(F.concat(*[text(c) for c in columns]) != "")
+    sizes = some.groupBy(within).agg(block_rows(F.count("*"), len(columns)).alias("_size"))
+    rows = some.withColumn("_rn", F.row_number().over(Window.partitionBy(within).orderBy(order))).join(sizes, within).withColumn("block", F.floor((F.col("_rn") - 1) / F.col("_size")))
+    cells = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), text(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", cells.alias("r")))), lambda x: x["r"]), "")
+    head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+    return rows.groupBy(within, "block").agg(F.count("*").alias("n_rows"), F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
+
+
 #: Patterns of a cell's text and its class; the first that fits holds.
 CELL_CLASSES = [
     (r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$", "Dt"),

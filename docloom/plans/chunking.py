@@ -227,7 +227,7 @@ SQL = {
     "task_reuse": f"with {_PG} select doc_id, count(*) as n_tasks, count(*) filter (from_page = 0) as n_reused from t group by 1",
     "one_chunk_per_document": "select doc_id, md5(text) as text_md5 from documents where text is not null",
     "chunk_by_page": "with b as (select distinct on (block_no, block_id) * from content_list where text is not null) select document_id as doc_id, page_idx as page, md5(string_agg(text, chr(10) order by block_no, block_id)) as text_md5 from b group by 1, 2",
-    "column_type_vote": "select 'p_partkey' as column, 'int' as kind, count(*) as n from part union all select 'p_name', 'text', count(*) from part union all select 'p_brand', 'text', count(*) from part union all select 'p_type', 'text', count(*) from part union all select 'p_size', 'int', count(*) from part union all select 'p_retailprice', 'float', count(*) from part",
+    "column_type_vote": "with c as (select unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) as cn, unnest([p_partkey::varchar, p_name, p_brand, p_type, p_size::varchar, p_retailprice::varchar]) as v from part), k as (select cn, case when regexp_matches(trim(v), '(?i)^(true|yes|false|no|是|否|✓|×)$') then 'bool' when regexp_matches(trim(v), '^[+-]?[0-9]{1,18}$') then 'int' when regexp_matches(trim(v), '^[+-]?[0-9]*\\.?[0-9]+$') then 'float' when regexp_matches(trim(v), '^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9:.]+)?$') then 'datetime' else 'text' end as kind from c where trim(v) <> ''), n as (select cn, kind, count(*) as n from k group by 1, 2), b as (select cn, arg_max(kind, (n, kind)) as kind, max(n) as n, max(case when kind = 'float' then n end) as f from n group by 1) select cn as column, case when kind = 'int' and f > 0 then 'float' else kind end as kind, n from b",
     "table_rows_to_chunks": "select p_partkey, 'p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_type: ' || p_type || '; p_size: ' || p_size as text from part",
     "excel_html_blocks": "with n as (select *, row_number() over (partition by p_brand order by p_partkey) as rn from part) select p_brand, floor((rn - 1) / 12)::bigint as block, '<table><tr><th>p_partkey</th><th>p_name</th><th>p_size</th></tr>' || string_agg('<tr><td>' || p_partkey || '</td><td>' || p_name || '</td><td>' || p_size || '</td></tr>', '' order by rn) || '</table>' as html from n group by 1, 2",
     "theta_box_overlap": "with o as (select distinct on (id) id, doc_id, position_int[1] as p from chunk_app where len(position_int) > 0), b as (select doc_id, p.page as page, id, p.x0 as x0, p.x1 as x1, p.top as t, p.bottom as b from o where p.x1 > p.x0 and p.bottom > p.top) select x.id as box_id, y.id as region_id, round((least(x.x1, y.x1) - greatest(x.x0, y.x0))::double * (least(x.b, y.b) - greatest(x.t, y.t)) / ((x.x1 - x.x0) * (x.b - x.t)), 6) as share from b x join b y on x.doc_id = y.doc_id and x.page = y.page and x.id <> y.id where least(x.x1, y.x1) > greatest(x.x0, y.x0) and least(x.b, y.b) > greatest(x.t, y.t) and (least(x.x1, y.x1) - greatest(x.x0, y.x0))::double * (least(x.b, y.b) - greatest(x.t, y.t)) / ((x.x1 - x.x0) * (x.b - x.t)) >= 0.4",

@@ -107,7 +107,7 @@ def stream_progress_monotone(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     e = ingest.files_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = ingest.windows(e, "ts", "1 day", "1 hour", "event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-    return ingest.run_to_table(spark, out)
+    return ingest.run_to_table(spark, out, "append")
 
 
 def stream_dedup_upsert(spark, sf_dir):
@@ -120,8 +120,7 @@ def stream_dedup_upsert(spark, sf_dir):
     s = ingest.files_stream(spark, sf_dir, "file2document").select("link_id", "file_id", "document_id", "create_time")
     q = s.writeStream.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).foreachBatch(ingest.upsert_into(f"{where}/out", "link_id", "create_time")).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{where}/out/{last}").select("link_id", "create_time")
+    return ingest.upserted(spark, f"{where}/out", "link_id", "create_time").select("link_id", "create_time")
 
 
 def retry_states(spark, sf_dir):
@@ -146,7 +145,7 @@ SQL = {
     "udf_grouped_agg": "select o_orderstatus, round(max(o_totalprice) - min(o_totalprice), 4) as spread from orders group by 1",
     "udtf_split": "select item_id, pos, word from (select item_id, unnest(range(0, len(a)))::int as pos, unnest(a) as word from (select item_id, string_split(text, ' ') as a from eval_items))",
     "stream_progress_monotone": "select user_id, round(case when min(p) < 0 then -1.0 else max(p) end, 6) as progress from (select user_id, case event_type when 'error' then -1.0 else least(value / 100, 1.0) end as p from events) group by 1",
-    "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
+    "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour group by 1, 2",
     "stream_dedup_upsert": "select link_id, max(create_time) as create_time from file2document group by 1",
     "retry_states": "select case when f >= 3 then 'abandoned' when f > 0 then 'retry' else 'ok' end as state, count(*) as n from (select user_id, sum((event_type = 'error')::int) as f from events group by 1) group by 1",
 }

@@ -235,6 +235,23 @@ def parse(files: DataFrame, hooks: dict[str, Callable[[bytes], list[tuple[str, s
     return files.select("path", "content").mapInArrow(run, "path string, section_no int, kind string, text string")
 
 
+def row_counts(files: DataFrame) -> DataFrame:
+    """(path, n_rows): rows of spreadsheets over all sheets, lines of anything else; -1 where a file cannot be read."""
+
+    def run(batches):
+        for b in batches:
+            n = []
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(raw)) if re.search(r"(?i)\.xlsx?$", path) else None
+                    n.append(len((decode(raw or b"")).split("\n")) if z is None else sum(sum(1 for _ in ElementTree.fromstring(z.read(s)).iter(f"{_S}row")) for s in z.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", s)))
+                except Exception:
+                    n.append(-1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["path", "n_rows"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, n_rows bigint")
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*", **hooks) -> DataFrame:
     return parse(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path), hooks or None)
 

@@ -24,7 +24,8 @@ def retried(tasks: DataFrame, key: str, failed: str, most: int = 3) -> DataFrame
 
 
 def windows(events: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:
-    """Tumbling counts with a watermark; rows later than ``late`` are left out by the engine."""
+    """Tumbling counts with a watermark, to be run in append mode: a window is given once, when the latest time seen is ``late`` past its end, and
+    rows that come later still are left out by the engine. (In complete mode all state is kept and nothing is left out.)"""
     return events.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
 
 
@@ -44,20 +45,26 @@ def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "complete")
 
 
 def upsert_into(path: str, key: str, version: str):
-    """foreachBatch sink: last write wins per key. Each epoch writes a new generation, so a replayed batch changes nothing."""
+    """foreachBatch sink: last write wins per key. Each epoch adds what it brought, under its own name, so that a replayed batch replaces
+    itself and nothing that is there already is written again. Read with ``upserted``."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = batch
-        if epoch:
-            now = upsert(spark.read.parquet(f"{path}/{epoch - 1}"), batch, key, version)
-        else:
-            now = upsert(batch.limit(0), batch, key, version)
-        now.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        upsert(batch.where("false"), batch, key, version).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
+def upserted(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
+    """The last version of each key over all epochs."""
+    rows = spark.read.parquet(path).drop("epoch")
+    return upsert(rows.where("false"), rows, key, version)
+
+
+def compacted(spark: SparkSession, path: str, to: str, key: str, version: str) -> None:
+    """Write the present state as one epoch of a new path, from time to time, so that reading stays cheap."""
+    upserted(spark, path, key, version).write.mode("overwrite").parquet(f"{to}/epoch=0")
+
+
 def files_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 1) -> DataFrame:
     """A table of the data directory as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
