@@ -205,14 +205,14 @@ VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, similarity, rank): exact cosine neighbours.
+def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding", vectors_in: str | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): exact cosine neighbours. The vectors may stand in another column, ``vectors_in``.
 
     Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product that returns
     at most k rows per query, so what is shuffled does not grow with the vectors. Null and zero vectors never match.
     """
 
-    def pack(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    def pack(df: DataFrame, key: str, size: int, name: str, vector: str = vector) -> DataFrame:
         def run(batches):
             for b in batches:
                 ids, vecs = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -225,7 +225,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, que
 
         return df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint"), vector).mapInArrow(run, f"{name}_ids binary, {name}_m binary")
 
-    pairs = pack(vectors, vec_id, VECTOR_BLOCK, "v").crossJoin(small(materialize(pack(queries, query_id, QUERY_BLOCK, "q"))))
+    pairs = pack(vectors, vec_id, VECTOR_BLOCK, "v", vectors_in or vector).crossJoin(small(materialize(pack(queries, query_id, QUERY_BLOCK, "q"))))
 
     def score(batches):
         for b in batches:
@@ -244,6 +244,83 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, que
     return top_k(found.withColumn("similarity", F.round("similarity", 9)), k, "similarity", "query_id", tie="vec_id")
 
 
+class CellIndex:
+    """Vectors dealt into cells around centres, to be searched by a few cells per query instead of all vectors.
+
+    Centres are fitted by k-means on a hash sample of about ``sample`` vectors, a documented bound on fitting; every vector is indexed, in the cell of its
+    nearest centre. Centres are at most ``cells``, so they fit on the driver at any number of vectors. Null and zero vectors are left out.
+    """
+
+    def __init__(self, vectors: DataFrame, cells: int = 256, sample: int = 50_000, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 5):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+        unit = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("v"), norm.alias("n")).where("n > 0")
+        unit = materialize(unit.select("vec_id", F.transform("v", lambda x: (x.cast("double") / F.col("n"))).alias("v")))
+        n = unit.count()
+        share = int((1 << 30) * min(1.0, sample / max(1, n)))
+        fit = unit.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < share)
+        k = max(1, min(cells, int(n**0.5)))
+        self.centres = np.array(KMeans(k=k, seed=seed, maxIter=10).fit(fit.select(array_to_vector("v").alias("features"))).clusterCenters() if n > 1 else [unit.first().v] if n else np.zeros((0, 0)))
+        self.vectors = materialize(self._nearest(unit, "vec_id", 1).repartition("cell"))
+
+    def _nearest(self, df: DataFrame, key: str, probes: int) -> DataFrame:
+        """(key, v, cell): each vector with its ``probes`` nearest centres."""
+        # to the nearest centre by distance when indexing, to the most similar ones by cosine when asking
+        length = np.linalg.norm(self.centres, axis=1)
+        aim, half = (self.centres, length**2 / 2) if probes == 1 else (self.centres / np.maximum(length, 1e-12)[:, None], np.zeros(len(length)))
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows or not len(aim):
+                    continue
+                m = np.array(b.column(1).to_pylist(), np.float64)
+                near = m @ aim.T - half
+                p = min(probes, near.shape[1])
+                cell = np.argpartition(-near, p - 1, axis=1)[:, :p]
+                at = np.repeat(np.arange(len(m)), p)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cell.ravel().astype(np.int32))], names=[key, "v", "cell"])
+
+        return df.select(key, "v").mapInArrow(run, f"{key} bigint, v array<double>, cell int")
+
+    def probes_for(self, queries: DataFrame, k: int, least: float = 0.95, query_id: str = "query_id", vector: str = "embedding") -> int:
+        """Cells to ask so that at least ``least`` of the k exact neighbours of some (tens of) questions are found, measured against ``knn``."""
+        exact = materialize(knn(queries, self.vectors, k, query_id=query_id, vec_id="vec_id", vector=vector, vectors_in="v").select("query_id", "vec_id"))
+        n, probes = exact.count(), 1
+        while probes < len(self.centres):
+            found = self.search(queries, k, probes, query_id, vector).select("query_id", "vec_id")
+            if exact.join(found, ["query_id", "vec_id"], "left_semi").count() >= least * n:
+                return probes
+            probes *= 2
+        return len(self.centres)
+
+    def search(self, queries: DataFrame, k: int, probes: int = 16, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+        """(query_id, vec_id, similarity, rank): the k nearest by cosine among the vectors of each query's ``probes`` cells."""
+        norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+        unit = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"), norm.alias("n")).where("n > 0").select("query_id", F.transform("v", lambda x: x.cast("double") / F.col("n")).alias("v"))
+        asked = materialize(self._nearest(unit, "query_id", probes))
+
+        def pack(df: DataFrame, key: str, size: int) -> DataFrame:
+            """Blocks of at most ``size`` vectors of one cell."""
+            rows = df.withColumn("_b", F.floor(F.monotonically_increasing_id() / size)).groupBy("cell", "_b").agg(F.collect_list(F.struct(key, "v")).alias("_r"))
+            return rows.select("cell", F.col(f"_r.{key}").alias(f"{key}s"), F.flatten("_r.v").alias(f"{key}_m"))
+
+        pairs = pack(self.vectors, "vec_id", VECTOR_BLOCK).join(small(materialize(pack(asked, "query_id", QUERY_BLOCK))), "cell")
+
+        def score(batches):
+            for b in batches:
+                for r in range(b.num_rows):
+                    v, q = np.array(b.column(0)[r].values), np.array(b.column(2)[r].values)
+                    s = np.array(b.column(3)[r].values).reshape(len(q), -1) @ np.array(b.column(1)[r].values).reshape(len(v), -1).T
+                    n = min(k, len(v))
+                    i, j = np.nonzero(s >= np.partition(s, len(v) - n, axis=1)[:, len(v) - n][:, None] - 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(v[j]), pa.array(s[i, j])], names=["query_id", "vec_id", "similarity"])
+
+        found = pairs.select("vec_ids", "vec_id_m", "query_ids", "query_id_m").mapInArrow(score, "query_id bigint, vec_id bigint, similarity double")
+        return top_k(found.withColumn("similarity", F.round("similarity", 9)), k, "similarity", "query_id", tie="vec_id")
+
+
 def fuse(text: DataFrame, vector: DataFrame, text_weight: float = 0.05, vector_weight: float = 0.95) -> DataFrame:
     """(query_id, doc_id, score): weighted sum over the union of both result sets."""
     a = text.select("query_id", "doc_id", F.col("score").alias("_t"))

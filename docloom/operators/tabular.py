@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.lexical import tokens
-from docloom.runtime import materialize, release
+from docloom.runtime import materialize, numbered, release
 
 INT, FLOAT, BOOL = r"^[+-]?[0-9]{1,18}$", r"^[+-]?[0-9]*\.?[0-9]+$", r"(?i)^(true|yes|false|no|是|否|✓|×)$"
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([ T][0-9:.]+)?$"
@@ -52,11 +52,11 @@ def rows_to_chunks(df: DataFrame, key: str, drop: tuple[str, ...] = (), joint: s
 
 
 def html_blocks(df: DataFrame, order: str, size: int, *columns: str, within: str | None = None) -> DataFrame:
-    """(within, block, html): a table per ``size`` rows, each with the header."""
+    """(within, block, html): a table per ``size`` rows, each with the header. Without ``within`` all rows are one table, numbered by many tasks."""
     keys = [within] if within else []
-    w = Window.partitionBy(*keys).orderBy(order)
     cell = F.concat(*[F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in columns])
-    rows = df.withColumn("_rn", F.row_number().over(w)).withColumn("block", F.floor((F.col("_rn") - 1) / size)).withColumn("_row", F.concat(F.lit("<tr>"), cell, F.lit("</tr>")))
+    placed = df.withColumn("_rn", F.row_number().over(Window.partitionBy(within).orderBy(order))) if within else numbered(df, order, name="_rn")
+    rows = placed.withColumn("block", F.floor((F.col("_rn") - 1) / size)).withColumn("_row", F.concat(F.lit("<tr>"), cell, F.lit("</tr>")))
     head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_row"))), lambda x: x["_row"]), "")
     return rows.groupBy(*keys, "block").agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))

@@ -9,7 +9,7 @@ from docloom.functions import lexical as L
 from docloom.functions.weights import FIELD_BOOSTS, cosine, rank_features, term_weight_sql
 from docloom.operators import retrieval as R
 from docloom.plans.lexical import TOKENS
-from docloom.runtime import materialize, table
+from docloom.runtime import materialize, small, table
 
 SPEC = R.Retrieve()
 
@@ -120,6 +120,16 @@ def knn_cosine_topk(spark, sf_dir):
     return _neighbours(spark, sf_dir, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def knn_cells_recall(spark, sf_dir):
+    """Share of the ten exact neighbours that the search by cells finds, over all questions; how many cells is settled on half of them."""
+    index = R.CellIndex(_vectors(spark, sf_dir))
+    asked = _queries(spark, sf_dir)
+    found = index.search(asked, 10, index.probes_for(asked.where("query_id % 100 = 0"), 10)).select("query_id", "vec_id")
+    exact = _neighbours(spark, sf_dir, 10).select("query_id", "vec_id")
+    hit = exact.join(found.withColumn("_hit", F.lit(1)), ["query_id", "vec_id"], "left").agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count("*")).alias("share"))
+    return hit.select(F.round("share", 4).alias("recall"))
+
+
 def knn_threshold(spark, sf_dir):
     return _neighbours(spark, sf_dir, 1024, 0.4).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("similarity"), 5).alias("total"))
 
@@ -132,7 +142,7 @@ def knn_filtered_by_label(spark, sf_dir):
 def cosine_centroid_by_label(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("vec_id", "label", "embedding", F.posexplode("embedding").alias("i", "x"))
     centre = v.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
-    return _vectors(spark, sf_dir).join(F.broadcast(centre), "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("centre")), 6).alias("similarity"))
+    return _vectors(spark, sf_dir).join(small(materialize(centre)), "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("centre")), 6).alias("similarity"))
 
 
 def _hybrid(spark, sf_dir):
@@ -240,7 +250,7 @@ def R_evaluate(spark, sf_dir):
     return metrics(run, qrels)
 
 
-QUERIES = {f.__name__: f for f in (token_similarity_topk, term_weights, paragraph_query_topn, postings_df, bm25_score, custom_similarity_score, min_should_match, fallback_relaxed_match, field_boost_best, retrieval_threshold_facets, doc_hit_counts, rerank_window_page, knn_cosine_topk, knn_threshold, knn_filtered_by_label, cosine_centroid_by_label, hybrid_fusion_weighted, hybrid_rerank, rank_feature_score, sort_page_offset, listing_sort_multi, dedup_by_id, highlight_sentences, citation_assign, citation_repair, context_pack_budget, history_last_n, message_fit_budget, eval_ndcg_map_mrr)}
+QUERIES = {f.__name__: f for f in (token_similarity_topk, term_weights, paragraph_query_topn, postings_df, bm25_score, custom_similarity_score, min_should_match, fallback_relaxed_match, field_boost_best, retrieval_threshold_facets, doc_hit_counts, rerank_window_page, knn_cosine_topk, knn_cells_recall, knn_threshold, knn_filtered_by_label, cosine_centroid_by_label, hybrid_fusion_weighted, hybrid_rerank, rank_feature_score, sort_page_offset, listing_sort_multi, dedup_by_id, highlight_sentences, citation_assign, citation_repair, context_pack_budget, history_last_n, message_fit_budget, eval_ndcg_map_mrr)}
 
 
 def _terms_sql(src: str, key: str, text: str) -> str:

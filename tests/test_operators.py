@@ -160,3 +160,46 @@ def test_written_postings_answer_like_those_of_one_pass(spark, tmp_path):
     assert n.collect() == m.collect() and n.first().n_docs == 3 and n.first().mean_length == 3.0
     whole = {(r.query_id, r.doc_id): round(r.score, 9) for r in R.bm25_scores(terms, R.postings(docs, "doc_id", "text")).collect()}
     assert {(r.query_id, r.doc_id): round(r.score, 9) for r in R.bm25_scores(terms, b, m).collect()} == whole
+
+
+def test_cells_find_nine_in_ten(spark):
+    import random
+
+    rnd = random.Random(4)
+    centres = [[rnd.gauss(0, 1) for _ in range(12)] for _ in range(15)]
+    rows = [(i, [x + rnd.gauss(0, 0.4) for x in centres[i % 15]]) for i in range(900)] + [(900, [0.0] * 12), (901, None), (None, [1.0] * 12)]
+    vectors = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    asked = vectors.where("vec_id % 30 = 0").selectExpr("vec_id as query_id", "embedding")
+    index = R.CellIndex(vectors, cells=20)
+    assert index.vectors.count() == 900 and len(index.centres) == 20
+    probes = index.probes_for(asked.where("query_id % 60 = 0"), 5)
+    want = {(r.query_id, r.vec_id) for r in R.knn(asked, vectors, 5).collect()}
+    got = {(r.query_id, r.vec_id) for r in index.search(asked, 5, probes).collect()}
+    assert probes < 20 and len(got & want) >= 0.9 * len(want)
+    none = R.CellIndex(vectors.where("vec_id = 900"))
+    assert none.search(asked, 5).count() == 0
+
+
+def test_rows_are_numbered_by_many_tasks(spark):
+    from docloom.operators import tabular
+    from docloom.runtime import numbered
+
+    df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k int, v int")
+    assert [(r.k, r.n) for r in numbered(df, "k", name="n").orderBy("k").collect()] == [(i, i + 1) for i in range(101)]
+    blocks = tabular.html_blocks(df, "k", 50, "k")
+    assert sorted((r.block, r.html.count("<tr>") - 1) for r in blocks.collect()) == [(0, 50), (1, 50), (2, 1)]
+    assert numbered(df.where("false"), "k").count() == 0
+
+
+def test_epochs_replace_themselves(spark, tmp_path):
+    from docloom.streaming import ingest
+
+    batch = lambda *r: spark.createDataFrame(list(r), "k string, v int, x string")
+    write = ingest.upsert_into(str(tmp_path / "t"), "k", "v")
+    write(batch(("a", 1, "x"), ("b", 1, "x")), 0)
+    write(batch(("a", 2, "y"), ("a", 3, "z"), ("b", 0, "old")), 1)
+    write(batch(("a", 2, "y"), ("a", 3, "z"), ("b", 0, "old")), 1)
+    want = {("a", 3, "z"), ("b", 1, "x")}
+    assert {tuple(r) for r in ingest.upserted(spark, str(tmp_path / "t"), "k", "v").collect()} == want
+    ingest.compacted(spark, str(tmp_path / "t"), str(tmp_path / "u"), "k", "v")
+    assert {tuple(r) for r in ingest.upserted(spark, str(tmp_path / "u"), "k", "v").collect()} == want
