@@ -209,3 +209,20 @@ def char_bigrams(text: Column) -> Column:
     """Distinct two-character pieces."""
     n = F.length(text)
     return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+
+
+def key_lines(joint: str = "\n", **values: Column) -> Column:
+    """'name: value' lines of the values that are not null or blank, in the order given, for a prompt."""
+    parts = F.array(*[F.when(F.trim(v.cast("string")) != "", F.concat(F.lit(f"{n}: "), v.cast("string"))) for n, v in values.items()])
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull()), joint)
+
+
+def message(key: Column, templates: list[str], **values: Column) -> Column:
+    """One of several templates, by the remainder of an integer key, with its {name} slots filled."""
+    out = None
+    for i, t in enumerate(templates):
+        names = set(re.findall(r"\{(\w+)\}", t))
+        text = filled(t, **{n: v for n, v in values.items() if n in names}) if names else F.lit(t)
+        cond = F.pmod(key, F.lit(len(templates))) == i
+        out = F.when(cond, text) if out is None else out.when(cond, text)
+    return out

@@ -75,3 +75,9 @@ def phrases(words: Column) -> Column:
     n = F.size(words)
     pair = lambda a, b: F.struct(a.alias("first"), b.alias("second"), (2 * F.greatest(term_weight(a), term_weight(b))).alias("boost"))
     return F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), pair))
+
+
+def with_frequency(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Add frequency and class (term, frequency, tag) of a dictionary's words: 0 and '' for words it does not have."""
+    known = dictionary.select("term", F.col("frequency").alias("_f"), F.col("tag").alias("_t"))
+    return terms.join(small(known), "term", "left").withColumn("frequency", F.coalesce("_f", F.lit(0))).withColumn("tag", F.coalesce("_t", F.lit(""))).drop("_f", "_t")

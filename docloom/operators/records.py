@@ -164,3 +164,32 @@ def with_model_scores(rows: DataFrame, score: Callable[[Column, Column], Column]
 def with_fallback_tags(rows: DataFrame, tag: Callable[[Column], Column], tags: str = "tag_kwd", text: str = "text") -> DataFrame:
     """Rows without tags get those of ``tag`` (injected, a model); others keep theirs."""
     return rows.withColumn(tags, F.when(F.size(F.coalesce(tags, F.array().cast("array<string>"))) > 0, F.col(tags)).otherwise(tag(F.col(text))))
+
+
+def mixed_vectors(title: Column, content: Column, share: float = 0.1) -> Column:
+    """Vector of a chunk: ``share`` of its document's title and the rest of its own text; where one is null, the other."""
+    mix = F.zip_with(title, content, lambda a, b: share * a.cast("double") + (1 - share) * b.cast("double"))
+    return F.coalesce(mix, content.cast("array<double>"), title.cast("array<double>"))
+
+
+def embedding_input(questions: Column, content: Column) -> Column:
+    """Text to embed: a chunk's questions, line by line, where it has any, else its content."""
+    some = F.filter(F.coalesce(questions, F.array().cast("array<string>")), lambda q: F.trim(q) != "")
+    return F.when(F.size(some) > 0, F.array_join(some, "\n")).otherwise(content)
+
+
+def enriched(chunks: DataFrame, text: str = "text", **models: Callable[[Column], Column]) -> DataFrame:
+    """Add what injected models make of each distinct text (keywords, questions, tags): each text is asked once, whatever the number of chunks that hold it.
+    Null texts get null."""
+    asked = chunks.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+    made = asked.select("_text", *[f(F.col("_text")).alias(n) for n, f in models.items()])
+    return chunks.drop(*models).join(made, F.col(text) == F.col("_text"), "left").drop("_text")
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
+    """An external database as a source. With a numeric ``column`` and its bounds the rows are read by that many tasks; filters and columns are
+    pushed down by Spark."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q").options(**options)
+    if column and bounds:
+        reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
+    return reader.load()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import metadata as M
 from docloom.operators import mutation as U
-from docloom.runtime import latest, table
+from docloom.runtime import latest, small, table
 
 
 def scan_project_chunks(spark, sf_dir):
@@ -175,13 +175,13 @@ def scalar_subquery_counts(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     per = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("members"))
     region = table(spark, sf_dir, "region")
-    return n.join(per, "n_nationkey", "left").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name", F.coalesce("members", F.lit(0)).alias("members"))
+    return n.join(per, "n_nationkey", "left").join(small(region), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name", F.coalesce("members", F.lit(0)).alias("members"))
 
 
 def effective_row_filter(spark, sf_dir):
     """Only rows of resources on which somebody has a permission."""
     granted = permission_max_merge(spark, sf_dir).where("permission = 'write' and resource_id is not null").select(F.substring("resource_id", 3, 1).cast("bigint").alias("r")).distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("r")).join(F.broadcast(granted), "r", "left_semi").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("r")).join(small(granted), "r", "left_semi").select("doc_id")
 
 
 def unique_name_suffix(spark, sf_dir):

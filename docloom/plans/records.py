@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import lexical as L
+from docloom.functions.segment import with_frequency
 from docloom.operators import graph as G
 from docloom.operators import records as R
 from docloom.plans.graph import _edges
@@ -129,9 +131,46 @@ def relation_lookup(spark, sf_dir):
     return G.relations_of(_edges(spark, sf_dir), wanted).groupBy("both_ends").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (stripped_columns, people_listing, people_assignable, session_listing, page_then_time, field_map_union, permission_listing, grant_upsert, chunk_preview, chunk_sequence, queue_pending, cache_unexpired, model_rerank, fallback_tags, trivia_relevance, community_reports, graph_rebuilt, entity_lookup, relation_lookup)}
+def vector_mix(spark, sf_dir):
+    """Each vector mixed with the next one's, as that of its title."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    t = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("title"))
+    mixed = v.join(t, "vec_id", "left").withColumn("m", R.mixed_vectors(F.col("title"), F.col("embedding")))
+    return mixed.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("m").alias("n"))
+
+
+def embedding_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "chunk_app").where("id is not null").select("id", "question_kwd", F.coalesce("content_with_weight", F.lit("")).alias("text")).distinct()
+    return rows.select("id", F.md5(R.embedding_input(F.col("question_kwd"), F.col("text"))).alias("text_md5"))
+
+
+def chunks_enriched(spark, sf_dir):
+    """The models here are the first word and the length."""
+    rows = table(spark, sf_dir, "content_list").where("block_id is not null").select("block_id", "text").distinct()
+    return R.enriched(rows, first=lambda t: F.split(t, " ")[0], size=lambda t: F.length(t)).select("block_id", "first", F.coalesce("size", F.lit(-1)).alias("size"))
+
+
+def prompt_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", L.key_lines(name=F.col("c_name"), segment=F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")), key=F.col("c_custkey")).alias("lines"))
+
+
+def messages(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", L.message(F.col("c_custkey"), ["Hello {name}", "{name} of {segment}", "nobody"], name=F.col("c_name"), segment=F.col("c_mktsegment")).alias("message"))
+
+
+def term_frequencies(spark, sf_dir):
+    """Words of the evaluation items with their documents and script as dictionary."""
+    words = table(spark, sf_dir, "eval_items").select("item_id", F.explode(F.array_distinct(L.tokens("text"))).alias("term"))
+    known = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(L.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("frequency")).where("frequency > 5").withColumn("tag", F.when(F.col("term").rlike("^[a-z]+$"), "latin").otherwise("other"))
+    return with_frequency(words, known).groupBy("item_id", "tag").agg(F.sum("frequency").alias("total"), F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (stripped_columns, people_listing, people_assignable, session_listing, page_then_time, field_map_union, permission_listing, grant_upsert, chunk_preview, chunk_sequence, queue_pending, cache_unexpired, model_rerank, fallback_tags, trivia_relevance, community_reports, graph_rebuilt, entity_lookup, relation_lookup, vector_mix, embedding_texts, chunks_enriched, prompt_lines, messages, term_frequencies)}
 
 from docloom.plans.graph import _B, _LI, _spread_labels  # noqa: E402
+from docloom.plans.lexical import TOKENS  # noqa: E402
 
 SQL = {
     "stripped_columns": "select doc_id, suffix from documents",
@@ -152,4 +191,10 @@ SQL = {
     "graph_rebuilt": "with o as (select * from orders where o_orderpriority not like '1%') select o_custkey::varchar as name, count(distinct o_orderpriority) as n_sources, 0.0 as weight from o group by 1 union all select o_custkey || '-s' || o_orderstatus, count(distinct o_orderpriority), count(*)::double from o group by 1",
     "entity_lookup": "select type, id, place from (select p_type as type, p_partkey as id, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) as place from part) where place <= 5",
     "relation_lookup": f"with {_LI}, w as (select p_partkey as k from part where p_size < 10), j as (select weight, (src in (select k from w))::int + (dst in (select k from w))::int as c from e) select c = 2 as both_ends, count(*) as n, sum(weight) as weight from j where c > 0 group by 1",
+    "vector_mix": "with v as (select vec_id, embedding::double[] as e from embeddings), m as (select a.vec_id, case when b.e is null then a.e else list_transform(range(1, len(a.e) + 1), lambda i: 0.1 * b.e[i] + 0.9 * a.e[i]) end as m from v a left join v b on b.vec_id = a.vec_id + 1) select vec_id, round(list_sum(m), 6) as total, len(m)::int as n from m",
+    "embedding_texts": "with r as (select distinct id, question_kwd, coalesce(content_with_weight, '') as text from chunk_app where id is not null), s as (select id, text, list_filter(coalesce(question_kwd, []), lambda q: trim(q) <> '') as q from r) select id, md5(case when len(q) > 0 then array_to_string(q, chr(10)) else text end) as text_md5 from s",
+    "chunks_enriched": "select distinct block_id, string_split(text, ' ')[1] as first, coalesce(length(text), -1)::int as size from content_list where block_id is not null",
+    "prompt_lines": "select c_custkey, array_to_string(list_filter([case when trim(c_name) <> '' then 'name: ' || c_name end, case when c_acctbal > 0 and trim(c_mktsegment) <> '' then 'segment: ' || c_mktsegment end, 'key: ' || c_custkey], lambda x: x is not null), chr(10)) as lines from customer",
+    "messages": "select c_custkey, case c_custkey % 3 when 0 then 'Hello ' || coalesce(c_name, '') when 1 then coalesce(c_name, '') || ' of ' || coalesce(c_mktsegment, '') else 'nobody' end as message from customer",
+    "term_frequencies": f"with w as (select item_id, unnest(list_distinct({TOKENS})) as term from eval_items), d as (select term, count(*) as frequency from (select unnest(list_distinct({TOKENS})) as term from documents) group by 1 having count(*) > 5) select item_id, case when frequency is null then '' when regexp_matches(w.term, '^[a-z]+$') then 'latin' else 'other' end as tag, sum(coalesce(frequency, 0))::bigint as total, count(*) as n from w left join d using (term) group by 1, 2",
 }
