@@ -218,6 +218,12 @@ SQL = {
     "heading_tree_bodies": f"with {_lines()}, v as (select *, {_level(1)} as level from l), hd as (select doc_id, pos as head, level from v where level is not null), en as (select a.doc_id, a.head, min(b.head) as stop from hd a left join hd b on a.doc_id = b.doc_id and b.head > a.head and b.level <= a.level group by 1, 2), bo as (select en.doc_id, en.head, string_agg(v.text, chr(10) order by v.pos) as body from en join v on v.doc_id = en.doc_id and v.pos > en.head and (stop is null or v.pos < stop) group by 1, 2) select doc_id, head::int as head, md5(body) as body_md5 from bo",
     "contents_removed": "with d as (select doc_id, string_split(text, chr(10)) as a from documents where text is not null), f as (select doc_id, a, trim(substr(a[1], 1, 12)) as t from d), x as (select doc_id, ['Contents', substr(a[1], 1, 12) || ' 1', 'Appendix 9'] || a as a from d), l as (select doc_id, unnest(range(0, len(a))) as pos, unnest(a) as text from x), fi as (select doc_id, min(pos) as first, substr(trim(arg_min(text, pos)), 1, 8) as prefix from l where pos > 0 and trim(text) <> '' group by 1), ag as (select l.doc_id, min(pos) as again from l join fi using (doc_id) where pos > first and pos <= first + 128 and starts_with(trim(text), prefix) group by 1) select l.doc_id, count(*) as n_lines, min(pos)::int as first from l left join ag using (doc_id) where again is null or pos >= again group by 1",
     "cell_block_types": "with b as (select unnest(regexp_extract_all(text, '<td>(.*?)</td>', 1)) as c from content_list where block_type = 'table' and text is not null), t as (select trim(c) as text from b), k as (select text, len(list_filter({_TOK}, lambda w: length(w) > 1)) as n from t) select case {_CASES} when n >= 12 then 'Lx' when n > 3 then 'Tx' else 'Ot' end as kind, count(*) as n from k group by 1".replace("{_TOK}", TOKENS).replace("{_CASES}", " ".join(f"when regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') then '{k}'" for p, k in T.CELL_CLASSES)),
+    "box_non_max": """with recursive d as (select l_suppkey % 10 as page, l_returnflag as kind, concat_ws('-', l_orderkey, l_linenumber, l_partkey) as box_id, l_quantity * 10 as x0, l_quantity * 10 + 40 as x1, l_tax * 500 as t, l_tax * 500 + 30 as b, l_extendedprice as score from lineitem),
+      s as (select *, row_number() over (partition by page, kind order by score desc, box_id) as i from (select distinct on (box_id) * from d) where score > 0),
+      r(page, kind, i, kept) as (select page, kind, i, [{'id': box_id, 'x0': x0, 'x1': x1, 't': t, 'b': b}] from s where i = 1 union all
+        select s.page, s.kind, s.i, case when len(list_filter(kept, lambda k: greatest(0, least(k.x1, s.x1) - greatest(k.x0, s.x0)) * greatest(0, least(k.b, s.b) - greatest(k.t, s.t)) >= 0.2 * ((k.x1 - k.x0) * (k.b - k.t) + (s.x1 - s.x0) * (s.b - s.t) - greatest(0, least(k.x1, s.x1) - greatest(k.x0, s.x0)) * greatest(0, least(k.b, s.b) - greatest(k.t, s.t))))) > 0
+          then kept else list_append(kept, {'id': box_id, 'x0': x0, 'x1': x1, 't': t, 'b': b}) end from r join s on r.page = s.page and r.kind = s.kind and s.i = r.i + 1)
+      select k.id as box_id from (select unnest(kept) as k from (select kept, row_number() over (partition by page, kind order by i desc) as rn from r) where rn = 1)""",
     "chunk_strict_regex": f"with {_lines()}, g as (select *, sum(regexp_matches(text, '^\\s*(?:(?:[0-9]+\\.[0-9]+ |#+ |Art\\. ))')::int) over (partition by doc_id order by pos rows unbounded preceding) as g from l), c as (select doc_id, g::bigint as chunk_no, {_GT} as t from g group by 1, 2) select doc_id, chunk_no, md5(t) as text_md5 from c where trim(t) <> ''",
     "chunk_qa_pairs": f"with {_lines()}, p as (select *, string_split(text, ': ') as a from l), g as (select *, sum((len(a) = 2)::int) over (partition by doc_id order by pos rows unbounded preceding) as g from p) select doc_id, g::bigint as pair_no, max(case when len(a) = 2 then a[1] end) as question, md5(string_agg(case when len(a) = 2 then a[2] else text end, chr(10) order by pos)) as answer_md5 from g where g > 0 group by 1, 2",
     "bullet_family_vote": f"with {_lines()}, v as (select doc_id, " + ", ".join(f"sum((regexp_matches(trim(text), '^(?:{'|'.join(f)})') and not regexp_matches(trim(text), '{C.NO_BULLET}'))::int) as n{i}" for i, f in enumerate(C.BULLETS)) + " from l group by 1) select doc_id, case when greatest(n0, n1, n2, n3) = 0 then -1 when n0 = greatest(n0, n1, n2, n3) then 0 when n1 = greatest(n0, n1, n2, n3) then 1 when n2 = greatest(n0, n1, n2, n3) then 2 else 3 end as family, greatest(n0, n1, n2, n3)::bigint as n from v",

@@ -133,6 +133,7 @@ _FMT = "case " + " ".join(f"when regexp_matches(file_name, '{p}') then '{n}'" fo
 _CNT = lambda w: f"(length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{w}', ''))) / {len(w)}"
 SQL = {
     "html_to_text": "with t as (select distinct block_id, regexp_replace(regexp_replace(text, '(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/table|/td)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') as s from content_list where block_type = 'table' and text like '<table%') select block_id, array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) as plain from t",
+    "markdown_tables": f"with s as (select doc_id, coalesce(text, '') || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || 'end' as t from documents) select doc_id, len(regexp_extract_all(t, '{S.MD_TABLE}')) + len(regexp_extract_all(t, '{S.HTML_TABLE}')) as n_tables, length(regexp_replace(regexp_replace(t, '{S.MD_TABLE}', chr(10), 'g'), '{S.HTML_TABLE}', chr(10), 'g')) as rest_chars from s",
     "markdown_image_urls": "select doc_id, 'img/' || doc_id || '.png' as urls from documents",
     "json_flatten_props": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
     "jsonl_detect": "select event_id, user_id % 2 = 0 as jsonl from events",

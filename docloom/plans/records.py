@@ -197,4 +197,7 @@ SQL = {
     "prompt_lines": "select c_custkey, array_to_string(list_filter([case when trim(c_name) <> '' then 'name: ' || c_name end, case when c_acctbal > 0 and trim(c_mktsegment) <> '' then 'segment: ' || c_mktsegment end, 'key: ' || c_custkey], lambda x: x is not null), chr(10)) as lines from customer",
     "messages": "select c_custkey, case c_custkey % 3 when 0 then 'Hello ' || coalesce(c_name, '') when 1 then coalesce(c_name, '') || ' of ' || coalesce(c_mktsegment, '') else 'nobody' end as message from customer",
     "term_frequencies": f"with w as (select item_id, unnest(list_distinct({TOKENS})) as term from eval_items), d as (select term, count(*) as frequency from (select unnest(list_distinct({TOKENS})) as term from documents) group by 1 having count(*) > 5) select item_id, case when frequency is null then '' when regexp_matches(w.term, '^[a-z]+$') then 'latin' else 'other' end as tag, sum(coalesce(frequency, 0))::bigint as total, count(*) as n from w left join d using (term) group by 1, 2",
+    "field_map_union": """with d as (select distinct kb_id, parser_config as c, create_time, document_id from kb_document where kb_id is not null and json_valid(parser_config)), e as (select *, unnest(json_keys(c)) as field from d),
+      v as (select kb_id, field, create_time, document_id, c, case when json_type(c, '$."' || field || '"') = 'VARCHAR' then json_extract_string(c, '$."' || field || '"') else replace(json_extract(c, '$."' || field || '"')::varchar, ' ', '') end as value from e)
+      select kb_id, field, value from (select *, row_number() over (partition by kb_id, field order by create_time desc nulls last, document_id desc nulls last, c desc) as rn from v) where rn = 1""",
 }

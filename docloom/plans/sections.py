@@ -103,4 +103,7 @@ SQL = {
     "chunk_tags": "select p_partkey, replace(trim(p_brand), '.', '_') || '|v1_2|' || replace(trim(p_type), '.', '_') as tags from part where trim(p_name) <> ''",
     "table_row_batches": "with n as (select *, row_number() over (partition by p_brand order by p_partkey) as rn from part) select p_brand, floor((rn - 1) / 10)::bigint as batch, md5(string_agg(p_name || ': ' || p_size, '; ' order by rn)) as text_md5 from n group by 1, 2",
     "chunks_tokenised": "with b as (select distinct block_id, text as raw, regexp_replace(text, '</?(?:table|td|caption|tr|th)(?: [^<>]{0,12})?>', ' ', 'g') as text from content_list where block_id is not null and trim(text) <> ''), t as (select block_id, {T} as t from b) select block_id, md5(array_to_string(t, ' ')) as ltks_md5, md5(array_to_string(list_transform(flatten(list_transform(t, lambda w: case when length(w) > 3 and regexp_matches(w, '^[一-鿿]+$') then list_transform(range(1, length(w), 2), lambda i: substr(w, i, case when i + 3 > length(w) then 3 else 2 end)) else [w] end)), lambda w: w), ' ')) as sm_md5 from t".replace("{T}", TOKENS),
+    "chunks_with_images": "with recursive b as (select distinct document_id as doc_id, block_no, block_id, text, img_path from content_list where block_id is not null and document_id is not null), o as (select *, row_number() over (partition by doc_id, block_no, block_id order by text, img_path) as d from b), "
+    + _walk(f"sq as (select doc_id, row_number() over (partition by doc_id order by block_no nulls first, block_id) as i, coalesce(text, '') as t, {_N.format("coalesce(text, '')")} as n, (img_path is not null)::bigint as g from o where d = 1)", "wk.size > 128", "sq.n", "chr(10)")
+    + ", im as (select wk.doc_id, wk.k as chunk_no, sum(sq.g)::bigint as n_images from wk join sq on sq.doc_id = wk.doc_id and sq.i = wk.i group by 1, 2) select ch.doc_id, ch.chunk_no::bigint as chunk, md5(t) as text_md5, n_images from ch join im using (doc_id, chunk_no)",
 }
