@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import HAN, SPACE
-from docloom.runtime import materialize
+from docloom.runtime import materialize, release
 
 RANGE = 1 << 16
 HALO = 256
@@ -225,7 +225,9 @@ def _entries(maps: DataFrame, fan: int) -> DataFrame:
 
 def cut_points(ranged: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(item, piece_no, start, new, end, n_tokens): offsets of the pieces of the items behind ``ranged``, in characters."""
-    tables = materialize(prefixed(boundary_tables(ranged)).where(F.size("starts") > 0))
+    found = materialize(boundary_tables(ranged))  # several plans below read it: boundaries are looked for once
+    tables = materialize(prefixed(found).where(F.size("starts") > 0))
+    release(found)
     size = F.greatest(F.lit(block), F.col("limit") * 16).cast("bigint")
     last = F.floor((F.col("n_tokens") - 1) / size)
     low, high = F.floor(F.greatest(F.lit(0), F.col("first") - F.col("limit")) / size), F.floor((F.col("first") + F.size("starts") - 1 + F.col("limit")) / size)
@@ -312,7 +314,7 @@ def pieces(items: DataFrame, range_chars: int = RANGE, block: int = BLOCK, fan:
     before the next token, white space at its end is kept in the offsets and trimmed in ``text``. Null and blank texts have no
     pieces; items are told apart by ``item``, so repeated ones must have been removed; other columns are ignored.
     """
-    ranged = of_oversized(items, range_chars)
+    ranged = materialize(of_oversized(items, range_chars))
     return emitted(cut_points(ranged, block, fan), ranged)
 
 
