@@ -16,6 +16,7 @@ PAGES = 3
 #: What a line that holds only a page number looks like.
 PAGE_NUMBER = r"(?i)^\s*(?:[-–—·\[(]?\s*(?:p\.|pp\.|pág\.|page|página|s\.|seite|第)?\s*[\dlIoO]{1,4}\s*(?:页)?(?:\s*(?:of|/|de|von|sur)\s*[\dlIoO]{1,4})?\s*[-–—·\])]?|[ivxl]{1,7})\s*$"
 WRAPPED = r"[\p{L}&&[^一-鿿]][-\xad¬‐‑][ \t]*\n[ \t]*[\p{L}&&[^一-鿿]]"
+_HAN_RUNS = re.compile("[一-鿿]+")
 #: Longest line that can be a running header or footer.
 LINE = 120
 #: Least relative frequency of what the model keeps: bounds each of its tables to the inverse, whatever the corpus.
@@ -82,35 +83,44 @@ def learn(clean: DataFrame, noisy: DataFrame):
     """
 
     def count_words(batches):
-        got: Counter = Counter()
+        words: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                got.update(("n", w) for w in sc.WORD.findall(t.lower()) if not w.isdigit())
-            if len(got) > 400_000:
-                yield _rows(got)
-                got = Counter()
-        yield _rows(got)
+                words.update(sc.WORD.findall(t.lower()))
+            if len(words) > 400_000:
+                yield _rows(n=words)
+                words = Counter()
+        yield _rows(n=words)
 
     def count(batches):
-        got: Counter = Counter()
+        got = {k: Counter() for k in "wpcmhg"}
         for b in batches:
             for t in b.column(0).to_pylist():
                 low = t.lower().replace("\n", " ")
                 words = sc.WORD.findall(low)
-                got.update(("w", w) for w in words if not w.isdigit())
-                got.update(("p", x + " " + y) for x, y in zip(words, words[1:]) if not (x.isdigit() or y.isdigit()))
-                got.update(("c", w) for w in sc.COMPOUND.findall(low))
-                got.update(("m", m) for m in sc.marks(t.replace("\n", " ")))
-                for run in re.findall("[一-鿿]+", t):
-                    got.update(("h", c) for c in run)
-                    got.update(("g", run[i : i + 2]) for i in range(len(run) - 1))
-            if len(got) > 400_000:
-                yield _rows(got)
-                got = Counter()
-        yield _rows(got)
-
-    def _rows(got: Counter):
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([x for _, x in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["kind", "item", "n"])
+                got["w"].update(words)
+                got["p"].update(zip(words, words[1:]))
+                if "-" in low:
+                    got["c"].update(sc.COMPOUND.findall(low))
+                got["m"].update(sc.marks(t.replace("\n", " ")))
+                for run in _HAN_RUNS.findall(t):
+                    got["h"].update(run)
+                    got["g"].update(zip(run, run[1:]))
+            if sum(map(len, got.values())) > 400_000:
+                yield _rows(**got)
+                got = {k: Counter() for k in "wpcmhg"}
+        yield _rows(**got)
+
+    def _rows(**got: Counter):
+        """Counts by kind; numbers are no words, and pairs of words stand with a blank between."""
+        joint = {"p": " ", "g": ""}
+        rows = []
+        for k, counts in got.items():
+            if k in joint:
+                rows += [(k, joint[k].join(x), n) for x, n in counts.items() if k == "g" or not (x[0].isdigit() or x[1].isdigit())]
+            else:
+                rows += [(k, x, n) for x, n in counts.items() if k not in "wn" or not x.isdigit()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "item", "n"])
 
     kinds = "kind string, item string, n bigint"
     seen = clean.where("text is not null").select("text").mapInArrow(count, kinds).unionByName(noisy.where("text is not null").select("text").mapInArrow(count_words, kinds))

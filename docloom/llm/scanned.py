@@ -118,6 +118,7 @@ class Model:
         self.odd = odd or {}  # words that only noisy documents have, with their counts
         self.seen: dict[str, tuple[float, str] | None] = {}
         self._index = self._around = None
+        self.longest = max(map(len, words), default=0)
 
     def cost(self, w: str) -> float:
         """-log P of a known word; all numbers are known and equally rare."""
@@ -192,6 +193,8 @@ class Model:
         """Cheapest reading of a run of letters as one word (cost above the word's own, reading), else None; of equals the first by letters."""
         if self.known(w):
             return 0.0, w
+        if len(w) > max(self.longest, 2) + 2 and w.isalpha():  # two steps take a letter each at most; letters alone never become a number
+            return None
         if w not in self.seen:
             best = min(((c + self.cost(v), v) for c, v in self.variants(w) if len(v) > 1), default=None)
             # a form nearly as frequent as what it would be read as is a word of its own
