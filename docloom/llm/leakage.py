@@ -28,8 +28,9 @@ RUN = 100
 REACH = 12
 WINDOW = 56
 STEP = RUN - 2 * REACH - WINDOW + 1
-#: Size of the fixed bitmap of item windows that documents are tested against before the join.
-BITS = 23
+#: Least and greatest size, as powers of two, of the bitmap of item windows that documents are tested against before the join: sixteen bits to a
+#: window, 32 MB at most. Beyond some sixteen million windows it lets more and more pass, and the join settles it.
+LEAST_BITS, MOST_BITS = 20, 28
 DROP = re.compile(r"[\W_]+")
 NAMED = re.compile(r"\b([A-Z][a-z]{2,11})(?= (?:Mk )?[A-Z]?\d)")
 UNIT = re.compile(r"\d ?([a-zA-Z]{1,12})\b")
@@ -127,9 +128,8 @@ def _char_windows(df: DataFrame, key: str, canon: Canonical, step: int, bitmap=N
                 h = window_hashes(local.template(s), WINDOW)[::step]
                 at = np.arange(len(h)) * step
                 if bits is not None:
-                    slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                    h, at = h[hit == 1], at[hit == 1]
+                    hit = _passing(h, bits)
+                    h, at = h[hit], at[hit]
                 for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
                     keys.append(k)
                     hs.append(x)
@@ -142,11 +142,26 @@ def _char_windows(df: DataFrame, key: str, canon: Canonical, step: int, bitmap=N
 
 
 def _bitmap(windows: DataFrame):
-    """Broadcast bitmap of 2**BITS window hashes; its size is fixed whatever the number of items."""
-    slots = windows.select(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    return windows.sparkSession.sparkContext.broadcast(bits)
+    """Broadcast (bits, bitmap) of window hashes, put together in the cluster in pieces of 4 KB."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * windows.count()).bit_length()))
+
+    def piece(t: pa.Table) -> pa.Table:
+        at = t.column("slot").to_numpy() & 32767
+        out = np.zeros(4096, np.uint8)
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pa.table({"piece": pa.array([t.column("piece")[0].as_py()], pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
+
+    slots = windows.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot")).distinct().withColumn("piece", F.shiftright("slot", 15))
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for r in slots.groupBy("piece").applyInArrow(piece, "piece int, bytes binary").collect():
+        table[r.piece << 12 : (r.piece + 1) << 12] = np.frombuffer(r.bytes, np.uint8)
+    return windows.sparkSession.sparkContext.broadcast((bits, table))
+
+
+def _passing(h: np.ndarray, bitmap: tuple[int, np.ndarray]) -> np.ndarray:
+    bits, table = bitmap
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return ((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) == 1
 
 
 def common_run(b1: str, a1: str, b2: str, a2: str) -> int:
@@ -212,8 +227,7 @@ def _token_windows(df: DataFrame, key: str, canon: Canonical, bitmap=None) -> Da
                     continue
                 ids = np.array([seen.get(w) or seen.setdefault(w, hash_word(w)) for w in tokens], np.uint64)
                 h = window_hashes(ids, TOKENS)
-                slot = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                at = np.arange(len(h)) if bits is None else np.nonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0]
+                at = np.arange(len(h)) if bits is None else np.nonzero(_passing(h, bits))[0]
                 for p in at.tolist():
                     values = [raw[j] for j in range(p, p + TOKENS) if tokens[j][0] == "<"]
                     if values and TOKENS - len(values) >= TOKENS // 2:
