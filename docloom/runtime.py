@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[object, str]] = []
 _CHOSEN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
@@ -29,8 +30,8 @@ def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = _CHOSEN[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        atexit.register(lambda made=where[7:]: os.path.isdir(made) and not os.listdir(made) and os.rmdir(made))
+        _MADE.append(tempfile.mkdtemp(prefix="docloom-"))
+        where = _CHOSEN[app] = f"file://{_MADE[-1]}"
     return where.rstrip("/")
 
 
@@ -70,7 +71,9 @@ def _clean() -> None:
         try:
             _delete(spark, path)
         except Exception:  # the gateway is gone
-            return
+            break
+    for made in _MADE:
+        shutil.rmtree(made, ignore_errors=True)
 
 
 def plan_bytes(df: DataFrame) -> int:
