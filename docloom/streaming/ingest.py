@@ -66,6 +66,11 @@ def compacted(spark: SparkSession, path: str, to: str, key: str, version: str) -
 
 
 def files_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 1) -> DataFrame:
-    """A table of the data directory as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", per_trigger).parquet(sf_dir)
+    """A table of the data directory, one file or a folder of them, as a stream of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return stream.parquet(path)
+    # the engine streams folders only
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

@@ -203,3 +203,20 @@ def test_epochs_replace_themselves(spark, tmp_path):
     assert {tuple(r) for r in ingest.upserted(spark, str(tmp_path / "t"), "k", "v").collect()} == want
     ingest.compacted(spark, str(tmp_path / "t"), str(tmp_path / "u"), "k", "v")
     assert {tuple(r) for r in ingest.upserted(spark, str(tmp_path / "u"), "k", "v").collect()} == want
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files):
+    from docloom.plans import flows
+
+    rows = [(f"l{i % 7}", i, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(20)]
+    spark.createDataFrame(rows, "link_id string, file_id bigint, document_id bigint, create_time timestamp").repartition(files).write.parquet(str(tmp_path / "raw"))
+    parts = sorted((tmp_path / "raw").glob("*.parquet"))
+    assert len(parts) == files
+    if files == 1:
+        parts[0].rename(tmp_path / "file2document.parquet")
+    else:
+        (tmp_path / "raw").rename(tmp_path / "file2document.parquet")
+    (tmp_path / "file2document_old.parquet").mkdir()
+    spark.createDataFrame([("other", 1, 1, dt.datetime(2030, 1, 1))], "link_id string, file_id bigint, document_id bigint, create_time timestamp").write.mode("overwrite").parquet(str(tmp_path / "file2document_old.parquet"))
+    assert {tuple(r) for r in flows.stream_dedup_upsert(spark, str(tmp_path)).collect()} == {(f"l{k}", max(r[3] for r in rows if r[0] == f"l{k}")) for k in range(7)}
