@@ -94,8 +94,9 @@ def token_similarity_from(terms: DataFrame, index: DataFrame, least: float, k: i
     """(query_id, doc_id, similarity): ``token_similarity`` from ``least`` (above 0) on, exact, for queries of many terms; integer ids.
 
     Where queries are whole texts nearly every pair meets in some term. Here pairs meet as blocks: a block of queries is a matrix of
-    weights by term, multiplied with the commoner terms of a block of documents and summed over the rarer ones. Only what reaches
-    ``least`` leaves the task; with ``k`` only what can be among a query's k best, also where scores are rounded to 5e-5 first.
+    weights by term, multiplied with the commoner terms of a block of documents and summed over the rarer ones, in single precision; what that
+    lets through is summed again in double. Only what reaches ``least`` leaves the task; with ``k`` only what can be among a query's k best of the
+    task's documents so far, also where scores are rounded to 5e-5 first.
     """
     vocabulary = materialize(terms.select("term").distinct().withColumn("_t", F.monotonically_increasing_id()))
 
@@ -123,42 +124,75 @@ def token_similarity_from(terms: DataFrame, index: DataFrame, least: float, k: i
         return df.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
     pairs = pack(gather(index, "doc_id"), "d", 2048, 1 << 18).crossJoin(small(materialize(pack(gather(terms, "query_id", "weight"), "q", most_queries, most_terms))))
+    memory = 64 << 20  # bytes of best scores that a task remembers
 
     def score(batches):
+        best, held, last, docs = {}, 0, None, None
         for b in batches:
             for r in range(b.num_rows):
                 d_ids, d_n, d_t, q_ids, q_n, q_t, q_w = (b.column(i)[r].as_buffer() for i in range(7))
+                if d_ids.to_pybytes() != last:
+                    # a block of documents comes with one block of queries after the other
+                    ids, n, t = np.frombuffer(d_ids, np.int64), np.frombuffer(d_n, np.int64), np.frombuffer(d_t, np.int64)
+                    names, row_of = np.unique(t, return_inverse=True)
+                    count = np.bincount(row_of)
+                    common = np.argsort(-count, kind="stable")[:256]
+                    place = np.full(len(names), -1)
+                    place[common] = np.arange(len(common))
+                    owner = np.repeat(np.arange(len(ids)), n)
+                    dense = place[row_of] >= 0
+                    has = np.zeros((len(ids), len(common)), np.float32)
+                    has[owner[dense], place[row_of[dense]]] = 1
+                    last, docs = ids.tobytes(), (ids.copy(), np.append(0, np.cumsum(n)), row_of, names, common, has, owner[~dense], row_of[~dense])
+                ids, bounds, row_of, names, common, has, owner, rare = docs
                 q, t = np.frombuffer(q_ids, np.int64), np.frombuffer(q_t, np.int64)
-                local, at = np.unique(t, return_inverse=True)
-                weights = np.zeros((len(local), len(q)))
-                weights[at, np.repeat(np.arange(len(q)), np.frombuffer(q_n, np.int64))] = np.frombuffer(q_w)
-                ids, t = np.frombuffer(d_ids, np.int64), np.frombuffer(d_t, np.int64)
-                row = np.minimum(np.searchsorted(local, t), len(local) - 1)
-                hit = local[row] == t
-                row, doc = row[hit], np.repeat(np.arange(len(ids)), np.frombuffer(d_n, np.int64))[hit]
-                # the 256 commonest terms of the block as a product, the others by gathering
-                count = np.bincount(row, minlength=len(local))
-                common = np.argsort(-count, kind="stable")[:256]
-                place = np.full(len(local), -1)
-                place[common] = np.arange(len(common))
-                dense = place[row] >= 0
-                has = np.zeros((len(ids), len(common)))
-                has[doc[dense], place[row[dense]]] = 1
-                s = has @ weights[common]
-                row, doc = row[~dense], doc[~dense]
+                q_n = np.frombuffer(q_n, np.int64)
+                at = np.minimum(np.searchsorted(names, t), len(names) - 1)
+                hit = names[at] == t
+                used, at = np.unique(at[hit], return_inverse=True)
+                # a row of weights per term that both have; the last, of zeros, for all others
+                local = np.full(len(names), len(used))
+                local[used] = np.arange(len(used))
+                weights = np.zeros((len(used) + 1, len(q)))
+                weights[at, np.repeat(np.arange(len(q)), q_n)[hit]] = np.frombuffer(q_w)[hit]
+                single = weights.astype(np.float32)
+                slack = 1e-6 + 1.2e-7 * int(q_n.max())
+                s = has @ single[local[common]]
+                row = local[rare]
+                sel = row < len(used)
+                row, doc = row[sel], owner[sel]
                 start = np.flatnonzero(np.diff(doc, prepend=-1))
                 end = np.append(start[1:], len(doc))
                 i = 0
                 while i < len(start):
                     j = max(i + 1, int(np.searchsorted(end, start[i] + most_terms, "right")))
-                    s[doc[start[i:j]]] += np.add.reduceat(weights[row[start[i] : end[j - 1]]], start[i:j] - start[i], axis=0)
+                    s[doc[start[i:j]]] += np.add.reduceat(single[row[start[i] : end[j - 1]]], start[i:j] - start[i], axis=0)
                     i = j
-                s = (s + 1e-9) / (1 + 1e-9)
-                keep = s >= least
-                if k is not None and k < len(ids):
-                    keep &= s >= np.partition(s, len(ids) - k, axis=0)[len(ids) - k] - 5e-5
-                x, y = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q[y]), pa.array(ids[x]), pa.array(s[x, y])], names=["query_id", "doc_id", "similarity"])
+                s = np.ascontiguousarray(s.T)
+                edge = np.full(len(q), least - slack, np.float32)
+                if k is not None:
+                    key = int(q[0])
+                    seen = best.get(key)
+                    top = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k :] if k < len(ids) else s
+                    if seen is not None:
+                        top = np.concatenate([seen, top], axis=1)
+                        top = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :] if k < top.shape[1] else top
+                    if seen is not None or held + top.nbytes <= memory:
+                        held += top.nbytes - (0 if seen is None else seen.nbytes)
+                        best[key] = top
+                    if top.shape[1] == k:
+                        edge = np.maximum(edge, top.min(axis=1) - (5e-5 + 2 * slack))
+                x, y = np.nonzero(s >= edge[:, None])
+                exact = np.zeros(len(x))
+                for i in range(0, len(x), 2048):
+                    u, v = x[i : i + 2048], y[i : i + 2048]
+                    size = bounds[v + 1] - bounds[v]
+                    first = np.cumsum(size) - size
+                    place = np.arange(size.sum()) - np.repeat(first - bounds[v], size)
+                    exact[i : i + 2048] = np.add.reduceat(weights[local[row_of[place]], np.repeat(u, size)], first)
+                exact = (exact + 1e-9) / (1 + 1e-9)
+                ok = exact >= least
+                yield pa.RecordBatch.from_arrays([pa.array(q[x[ok]]), pa.array(ids[y[ok]]), pa.array(exact[ok])], names=["query_id", "doc_id", "similarity"])
 
     return pairs.mapInArrow(score, "query_id bigint, doc_id bigint, similarity double")
 
