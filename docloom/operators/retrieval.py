@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -406,28 +407,171 @@ def packed(ranked: DataFrame, size: str, budget: int, share: float = 0.97, *part
     return ranked.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= share * budget)
 
 
-def citations(sentences: DataFrame, chunks: DataFrame, cutoff: float = 0.63, least: float = 0.3, decay: float = 0.8, most: int = 4) -> DataFrame:
+def citations(sentences: DataFrame, chunks: DataFrame, cutoff: float = 0.63, least: float = 0.3, decay: float = 0.8, most: int = 4, at_once: int = 1 << 17) -> DataFrame:
     """(answer_id, sentence_no, chunk_id, similarity): chunks to cite per sentence.
 
-    ``sentences``: answer_id, sentence_no, terms. ``chunks``: answer_id, chunk_id, terms. The cutoff is lowered by ``decay`` until
-    some sentence of the answer reaches it, not below ``least``. A sentence cites up to ``most`` chunks within 99 % of its best;
-    each chunk is cited by its best sentence only.
+    ``sentences``: answer_id, sentence_no, terms. ``chunks``: answer_id, chunk_id, terms. The numbers are integers. The cutoff is lowered by
+    ``decay`` until some sentence of the answer reaches it, not below ``least``. A sentence cites up to ``most`` chunks within 99 % of its best;
+    each chunk is cited by its best sentence only. The terms of one answer are held by the task that cites it; ``at_once`` bounds the terms,
+    and the meetings of a term of a sentence with a chunk, that it handles at a time beyond those of one answer or one sentence.
     """
-    s = sentences.select("answer_id", "sentence_no", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("_n"))
-    c = chunks.select("answer_id", "chunk_id", F.explode(F.array_distinct("terms")).alias("term"))
-    sims = s.join(c, ["answer_id", "term"]).groupBy("answer_id", "sentence_no", "chunk_id").agg((F.count("*") / F.first("_n")).alias("similarity"))
-    top = sims.groupBy("answer_id").agg(F.max("similarity").alias("_top"))
+    one = lambda df, no, cites: df.where(F.col("answer_id").isNotNull() & F.col(no).isNotNull() & F.col("terms").isNotNull()).select("answer_id", F.struct(F.col(no).cast("bigint").alias("no"), F.col("terms").alias("terms"), F.lit(cites).alias("cites")).alias("_u"))
+    rows = one(sentences, "sentence_no", True).unionByName(one(chunks, "chunk_id", False)).groupBy("answer_id").agg(F.collect_list("_u").alias("_u"))
+
+    def units(column):
+        ends, u = column.offsets.to_numpy(), column.values
+        terms = u.field("terms")
+        at, no, cites = terms.offsets.to_numpy(), u.field("no").to_numpy(), u.field("cites").to_numpy(zero_copy_only=False)
+        for i, j in _runs(at[ends], at_once):
+            low, high = ends[i], ends[j]
+            words = terms.values.slice(at[low], at[high] - at[low]).dictionary_encode(null_encoding="encode")
+            code, names = words.indices.to_numpy(), words.dictionary
+            owner, unit, s = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), np.repeat(np.arange(high - low), np.diff(at[low : high + 1])), cites[low:high]
+            real = ~names.is_null().to_numpy(zero_copy_only=False)[code]  # a null counts as a term and is met nowhere
+            sides = [(owner[x], no[low:high][x], (np.cumsum(x) - 1)[unit[t]], code[t]) for x, t in ((s, s[unit]), (~s, ~s[unit] & real))]
+            yield i, *sides, len(names)
+
+    numbers = [f.dataType.simpleString() for f in (sentences.schema["sentence_no"], chunks.schema["chunk_id"])]
+    return _cited(rows, units, numbers, cutoff, least, decay, most, at_once)
+
+
+def text_citations(texts: DataFrame, answer_id: str, text: str, shortest: int = 5, cutoff: float = 0.63, least: float = 0.3, decay: float = 0.8, most: int = 4, at_once: int = 1 << 17) -> DataFrame:
+    """``citations`` of texts whose own paragraphs are the chunks: sentences end at '. ' and count from ``shortest`` characters on, chunks end at an empty line.
+
+    Both are made of the same pieces, since neither mark is part of a word: a text is analysed once and only texts are shuffled.
+    """
+    words = lambda s: F.transform(F.split(s, "\n\n"), lambda p: L.squeezed(L.halfwidth(p)))
+    pieces = lambda t: F.transform(F.split(t, r"\. "), lambda s: F.struct((F.length(s) >= shortest).alias("cites"), words(s).alias("words")))
+    known = texts.where(F.col(answer_id).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(answer_id).alias("answer_id")).agg(F.collect_list(text).alias("_t"))
+
+    def units(column):
+        doc_at, text_at, s = column.offsets.to_numpy(), column.values.offsets.to_numpy(), column.values.values
+        cites, at, piece = s.field("cites").to_numpy(zero_copy_only=False), s.field("words").offsets.to_numpy(), s.field("words").values
+        size = np.append(0, np.cumsum(pc.binary_length(piece).to_numpy(), dtype=np.int64))
+        for i, j in _runs(size[at[text_at[doc_at]]] // 6, at_once):
+            owner = np.repeat(np.arange(j - i), np.diff(doc_at[i : j + 1]))
+            in_text = text_at[doc_at[i] : doc_at[j] + 1]
+            sentences, in_sentence = np.diff(in_text), at[in_text[0] : in_text[-1] + 1]
+            pieces, low = np.diff(in_sentence), at[in_text[0]]
+            sentence_text = np.repeat(np.arange(len(owner)), sentences)
+            sentence_no = np.arange(len(pieces)) - (in_text[:-1] - in_text[0])[sentence_text]
+            piece_sentence = np.repeat(np.arange(len(pieces)), pieces)
+            piece_text = sentence_text[piece_sentence]
+            first = at[in_text[:-1]] - low
+            # of two pieces of a text the second begins a sentence or else a chunk
+            piece_chunk = np.arange(len(piece_sentence)) - first[piece_text] - sentence_no[piece_sentence]
+            chunks = at[in_text[1:]] - at[in_text[:-1]] - sentences + 1
+            chunk_text = np.repeat(np.arange(len(owner)), chunks)
+            chunk_first = np.cumsum(chunks) - chunks
+            lists = pc.split_pattern(piece.slice(low, len(piece_sentence)), " ")
+            encoded = lists.flatten().dictionary_encode()
+            code, blank = encoded.indices.to_numpy(), pc.index(encoded.dictionary, "").as_py()
+            of = np.repeat(np.arange(len(piece_sentence)), lists.value_lengths().to_numpy())
+            of, code = of[code != blank], code[code != blank]
+            said = cites[in_text[0] : in_text[-1]][piece_sentence[of]]
+            sides = (owner[sentence_text], sentence_no, piece_sentence[of][said], code[said]), (owner[chunk_text], np.arange(len(chunk_text)) - chunk_first[chunk_text], (piece_chunk + chunk_first[piece_text])[of], code)
+            yield i, *sides, len(encoded.dictionary)
+
+    return _cited(known.select("answer_id", F.transform("_t", pieces).alias("_u")), units, ["int", "int"], cutoff, least, decay, most, at_once)
+
+
+def _runs(at: np.ndarray, at_once: int):
+    """(i, j): neighbours whose sizes, the steps of ``at``, are ``at_once`` at most together, or one alone."""
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, int(at[i]) + at_once, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _cited(rows: DataFrame, units, numbers: list[str], cutoff: float, least: float, decay: float, most: int, at_once: int) -> DataFrame:
+    """Citations of ``rows``, one per answer, whose second column ``units`` turns into (first answer, sentences, chunks, number of codes), both sides as
+    (answer of each unit, number of each unit, unit of each term, code of each term). No join, so no size that is only estimated, and no row per term."""
     steps = []
     at = cutoff
     while at >= least:
         steps.append(at)
         at *= decay
-    cut = F.coalesce(*[F.when(F.col("_top") >= x, F.lit(x)) for x in steps])
-    w = Window.partitionBy("answer_id", "sentence_no")
-    kept = sims.join(top, "answer_id").where(F.col("similarity") >= cut).withColumn("_best", F.max("similarity").over(w)).where(F.col("similarity") >= 0.99 * F.col("_best"))
-    kept = kept.withColumn("_r", F.row_number().over(w.orderBy(F.col("similarity").desc(), "chunk_id"))).where(F.col("_r") <= most)
-    once = Window.partitionBy("answer_id", "chunk_id").orderBy(F.col("similarity").desc(), "sentence_no")
-    return kept.withColumn("_o", F.row_number().over(once)).where("_o = 1").select("answer_id", "sentence_no", "chunk_id", "similarity")
+
+    def merged(owner, no, unit, code, codes):
+        """Answer, number and count of terms per sentence or chunk; its place and the code of each distinct term."""
+        both = np.sort(unit.astype(np.int64) * codes + code)  # np.unique hashes, which takes several times as long
+        unit, code = np.divmod(both[np.flatnonzero(np.diff(both, prepend=-1))], codes)
+        count = np.bincount(unit, minlength=len(owner))
+        used = np.flatnonzero(count)
+        numbers, place = np.unique(no[used], return_inverse=True)
+        key, first, mine = np.unique(owner[used].astype(np.int64) * max(1, len(numbers)) + place, return_index=True, return_inverse=True)
+        to = np.zeros(len(owner), np.int64)
+        to[used] = mine
+        return owner[used][first], no[used][first], count[used][first], to[unit], code
+
+    def run(batches):
+        for b in batches:
+            for first, sentences, chunks, codes in units(b.column(1)) if b.num_rows else ():
+                s_owner, s_no, s_count, s, s_code = merged(*sentences, codes)
+                c_owner, c_no, _, c, c_code = merged(*chunks, codes)
+                if not len(s) or not len(c):
+                    continue
+                if (np.diff(s) < 0).any():
+                    order = np.argsort(s, kind="stable")
+                    s, s_code = s[order], s_code[order]
+                key = c_owner[c] * np.int64(codes) + c_code
+                order = np.argsort(key, kind="stable")
+                key, c = key[order], c[order]
+                start = np.flatnonzero(np.diff(key, prepend=-1))
+                key, size = key[start], np.diff(np.append(start, len(key)))
+                want = s_owner[s] * np.int64(codes) + s_code
+                meet = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                hit = key[meet] == want
+                s, meet = s[hit], meet[hit]
+                start, size = start[meet], size[meet]
+                low, high = (np.searchsorted(c_owner, s_owner, side) for side in ("left", "right"))
+                begin = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
+                found = []
+                for i, j in _runs(np.append(0, np.cumsum(size))[begin], at_once):
+                    part = slice(begin[i], begin[j])
+                    mine, n = s[part], size[part]
+                    all_ = slice(mine[0], mine[-1] + 1)
+                    bound = np.append(0, np.cumsum(high[all_] - low[all_]))
+                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start[part], n)
+                    pair = np.repeat(bound[mine - mine[0]] - low[mine], n) + c[place]
+                    if bound[-1] <= 4 * at_once:
+                        shared = np.bincount(pair)
+                        pair = np.flatnonzero(shared)
+                        shared = shared[pair]
+                    else:
+                        pair, shared = np.unique(pair, return_counts=True)
+                    x = np.searchsorted(bound, pair, "right") - 1
+                    y = pair - bound[x] + low[x + mine[0]]
+                    x += mine[0]
+                    similarity = shared / s_count[x]
+                    edge = np.flatnonzero(np.diff(x, prepend=-1))
+                    best = np.repeat(np.maximum.reduceat(similarity, edge), np.diff(np.append(edge, len(x))))
+                    near = similarity >= 0.99 * best
+                    x, y, similarity = x[near], y[near], similarity[near]
+                    order = np.lexsort((y, -similarity, x))
+                    x, y, similarity = x[order], y[order], similarity[order]
+                    edge = np.flatnonzero(np.diff(x, prepend=-1))
+                    kept = np.arange(len(x)) - np.repeat(edge, np.diff(np.append(edge, len(x)))) < most
+                    found.append((x[kept], y[kept], similarity[kept]))
+                if not found:
+                    continue
+                x, y, similarity = (np.concatenate(v) for v in zip(*found))
+                owner = s_owner[x]
+                top = np.zeros(owner.max() + 1)
+                np.maximum.at(top, owner, similarity)
+                cut = np.full(len(top), np.inf)
+                for step in reversed(steps):
+                    cut[top >= step] = step
+                ok = similarity >= cut[owner]
+                x, y, similarity, owner = x[ok], y[ok], similarity[ok], owner[ok]
+                order = np.lexsort((x, -similarity, y))
+                order = order[np.flatnonzero(np.diff(y[order], prepend=-1))]
+                x, y = x[order], y[order]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + owner[order])), pa.array(s_no[x].astype(np.int64)), pa.array(c_no[y].astype(np.int64)), pa.array(similarity[order])], names=["answer_id", "sentence_no", "chunk_id", "similarity"])
+
+    out = rows.mapInArrow(run, f"answer_id {rows.schema['answer_id'].dataType.simpleString()}, sentence_no bigint, chunk_id bigint, similarity double")
+    return out.select("answer_id", *[F.col(name).cast(kind).alias(name) for name, kind in zip(("sentence_no", "chunk_id"), numbers)], "similarity")
 
 
 def repaired_citations(text: Column | str, n_chunks: Column) -> Column:

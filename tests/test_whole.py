@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import DATA, QUERIES, SQL, duck, rows  # noqa: F401
 
+from docloom.functions import lexical as L
 from docloom.operators import graph as G
 from docloom.operators import retrieval as R
 from docloom.operators import tabular as T
@@ -130,3 +132,62 @@ def test_few_rows_leave_the_blocks_of_token_similarity(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert [d for _, d in got[:k]] == list(range(1, k + 1)) and all(abs(s - (n - d) / 2**14) < 1e-8 for s, d in got)
     assert len(got) < 4 * k
+
+
+def cited(sentences, chunks):
+    """Citations of one answer from its sentences and chunks, {number: set of terms}."""
+    like = {(s, c): len(a & b) / len(a) for s, a in sentences.items() for c, b in chunks.items() if a & b}
+    cut = next((x for x in (0.63, 0.63 * 0.8, 0.63 * 0.8 * 0.8, 0.63 * 0.8 * 0.8 * 0.8) if x <= max(like.values(), default=0)), 2)
+    best = {s: max(v for (t, _), v in like.items() if t == s) for s, _ in like}
+    rows = []
+    for s in best:
+        rows += sorted((-v, c, s) for (t, c), v in like.items() if t == s and v >= cut and v >= 0.99 * best[s])[:4]
+    first = {}
+    for v, c, s in sorted(rows, key=lambda r: (r[1], r[0], r[2])):
+        first.setdefault(c, (s, c, round(-v, 9)))
+    return set(first.values())
+
+
+def test_citations_equal_brute_force(spark):
+    random.seed(12)
+    terms = lambda: {f"t{random.randrange(14)}" for _ in range(random.randrange(7))}
+    answers = {a: ({n: terms() for n in range(random.randrange(9))}, {n: terms() for n in range(random.randrange(40))}) for a in range(60)}
+    frame = lambda k, name: spark.createDataFrame([(a, n, [*t, *t]) for a, x in answers.items() for n, t in x[k].items()] + [(None, 1, ["t1"]), (1, None, ["t1"]), (2, 77, None)], f"answer_id long, {name} int, terms array<string>")
+    want = {(a, *r) for a, x in answers.items() for r in cited(*x)}
+    for at_once in (5, 1 << 17):
+        out = R.citations(frame(0, "sentence_no"), frame(1, "chunk_id"), at_once=at_once)
+        got = [(r.answer_id, r.sentence_no, r.chunk_id, round(r.similarity, 9)) for r in out.collect()]
+        assert dict(out.dtypes)["chunk_id"] == "int" and len(got) == len(want) > 99 and set(got) == want
+    # a null is a term that is met nowhere
+    one = lambda name, t: spark.createDataFrame([("x", 3, t)], f"answer_id string, {name} long, terms array<string>")
+    assert [tuple(r) for r in R.citations(one("sentence_no", ["a", None]), one("chunk_id", [None, "a"])).collect()] == [("x", 3, 3, 0.5)]
+
+
+def test_text_citations_equal_those_of_pieces(spark):
+    random.seed(13)
+    marks = [". ", ".", "\n\n", "\n", "\n\n\n\n", ". \n\n", " ", " ", "．　", "。", "Σ. ", "... ", "ＡB", "ab", "Word", "word_2", "数据", "é", "x1", "pumpe"]
+    texts = [(i, "".join(random.choice(marks) for _ in range(random.randrange(1, 90)))) for i in range(120)] + [(900, ""), (901, None), (None, "word one. word one"), (902, "\n\n"), (903, "a. b"), (904, "word one. Word one\n\nword two")]
+    docs = spark.createDataFrame(texts, "id long, text string").where("text is not null and id is not null")
+    split = lambda mark, name: docs.select(F.col("id").alias("answer_id"), F.posexplode(F.split("text", mark)).alias(name, "s"))
+    frames = [x.select(x.columns[0], x.columns[1], L.tokens("s").alias("terms")) for x in (split(r"\. ", "sentence_no").where("length(s) >= 5"), split("\n\n", "chunk_id"))]
+    sides = [{}, {}]
+    for side, frame in zip(sides, frames):
+        for a, n, t in frame.collect():
+            side.setdefault(a, {})[n] = set(t)
+    want = {(a, *r) for a in sides[0] for r in cited(sides[0][a], sides[1][a])}
+    all_texts = spark.createDataFrame(texts, "id long, text string")
+    for at_once in (5, 1 << 17):
+        got = [(*r[:3], round(r[3], 9)) for r in R.text_citations(all_texts, "id", "text", at_once=at_once).collect()]
+        assert len(got) == len(want) > 100 and set(got) == want
+        assert {(*r[:3], round(r[3], 9)) for r in R.citations(*frames, at_once=at_once).collect()} == want
+
+
+def test_citation_assign_joins_nothing(spark):
+    """Sizes of exploded terms are underestimated: joined, they reach the driver as a broadcast, and a row per term is shuffled and sorted."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = QUERIES["citation_assign"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1 and not any(x in plan for x in ("Broadcast", "Join", "Generate", "Window"))
